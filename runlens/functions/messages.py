@@ -30,3 +30,11 @@ def trigger_message(run_id: Column, encounter_id: Column, archetype: Column) ->
         F.coalesce(encounter_id, F.lit(C.DEFAULT_ENCOUNTER)).alias("encounter_id"),
         archetype.alias("boss_archetype"),
     ))
+
+
+def result_message(player_id: Column, encounter_id: Column, dialogue: Column,
+                   choices: Column) -> Column:
+    return envelope(C.RESULT_MESSAGE, F.struct(
+        F.coalesce(player_id, F.lit("unknown")).alias("playerId"),
+        encounter_id.alias("encounterId"), dialogue.alias("dialogue"),
+        choices.alias("choices")))
