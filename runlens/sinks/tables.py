@@ -1,7 +1,8 @@
 """Table and file writers.
 
 A training table is one partitioned folder, `boss_archetype=<name>`, so all archetypes are written
-by one job. `batch_id` partitions make a replayed micro-batch overwrite itself.
+by one job. `batch` partitions make a replayed micro-batch overwrite itself; the name of a batch
+holds the id of its query, so that two queries never overwrite each other.
 """
 
 from __future__ import annotations
@@ -20,13 +21,21 @@ from runlens.sources.tables import read_lake, seed_rows
 _RECORDS_PER_FILE = "1000"
 BUCKETS = 256
 
-_BATCH = T.StructField("batch_id", T.LongType())
+SEED_BATCH = "seed"
+FULL_BATCH = "full"
+_BATCH = T.StructField("batch", T.StringType())
 _ARCHETYPE = T.StructField("boss_archetype", T.StringType())
 _TABLE = T.StructType([*TRAINING.fields, _ARCHETYPE, _BATCH])
 
 
-def append_lake(records: DataFrame, path: str) -> None:
-    to_lake(records).write.partitionBy("boss_archetype").mode("append").json(path)
+def _replace_batch(rows: DataFrame, batch: str, keys: tuple[str, ...]):
+    return rows.withColumn("batch", F.lit(batch)).write.option(
+        "partitionOverwriteMode", "dynamic").partitionBy(*keys).mode("overwrite")
+
+
+def append_lake(records: DataFrame, path: str, batch: str) -> None:
+    """Add a batch of records by archetype; the same batch again replaces itself."""
+    _replace_batch(to_lake(records), batch, ("boss_archetype", "batch")).json(path)
 
 
 def table_names(archetypes: Iterable[str] = C.ARCHETYPES) -> dict[str, str]:
@@ -47,20 +56,18 @@ def overwrite_training(records: DataFrame, path: str,
     """
     wanted = _keyed(records).filter(F.col("boss_archetype").isin(*archetypes))
     if not dry_run:
-        wanted.withColumn("batch_id", F.lit(-1).cast("long")).write.option(
-            "partitionOverwriteMode", "static").partitionBy("boss_archetype", "batch_id").mode(
+        wanted.withColumn("batch", F.lit(FULL_BATCH)).write.option(
+            "partitionOverwriteMode", "static").partitionBy("boss_archetype", "batch").mode(
                 "overwrite").parquet(path)
     return wanted
 
 
-def append_training(records: DataFrame, path: str, batch_id: int = 0, dry_run: bool = False,
+def append_training(records: DataFrame, path: str, batch: str, dry_run: bool = False,
                     ) -> DataFrame:
     """Add a batch to the tables of the archetypes it holds; the same batch again replaces itself."""
     rows = _keyed(records)
     if not dry_run:
-        rows.withColumn("batch_id", F.lit(batch_id).cast("long")).write.option(
-            "partitionOverwriteMode", "dynamic").partitionBy("boss_archetype", "batch_id").mode(
-                "overwrite").parquet(path)
+        _replace_batch(rows, batch, ("boss_archetype", "batch")).parquet(path)
     return rows
 
 
@@ -71,7 +78,7 @@ def ensure_tables(spark: SparkSession, path: str) -> None:
 
 def read_training(spark: SparkSession, path: str, archetype: str | None = None) -> DataFrame:
     """Training rows; an archetype without any is an empty frame with the same schema."""
-    rows = spark.read.schema(_TABLE).parquet(path).drop("batch_id")
+    rows = spark.read.schema(_TABLE).parquet(path).drop("batch")
     return rows if archetype is None else rows.filter(F.col("boss_archetype") == archetype)
 
 
@@ -89,7 +96,7 @@ def seed_if_absent(spark: SparkSession, path: str) -> int:
     """Append missing seed rows to the lake; returns how many."""
     missing = new_seeds(read_lake(spark, path), seed_rows(spark)).collect()
     if missing:
-        append_lake(spark.createDataFrame(missing, LAKE), path)
+        append_lake(spark.createDataFrame(missing, LAKE), path, SEED_BATCH)
     return len(missing)
 
 
@@ -119,7 +126,7 @@ _CACHE = T.StructType([
 _STORED = T.StructType([*_CACHE.fields, _BATCH, T.StructField("bucket", T.IntegerType())])
 
 
-def upsert_latest(snapshots: DataFrame, path: str, batch_id: int = 0) -> None:
+def upsert_latest(snapshots: DataFrame, path: str, batch: str) -> None:
     """Store the newest snapshot per run of a batch; readers keep the newest over all batches.
 
     A keyed folder of `bucket` partitions replaces one file per run. Writing only the batch keeps
@@ -127,10 +134,8 @@ def upsert_latest(snapshots: DataFrame, path: str, batch_id: int = 0) -> None:
     """
     rows = latest(snapshots, "run_id", "timestamp", "event_id").withColumns({
         "outcome": F.lit(-1), "weight": F.lit(1.0), "bucket": bucket(),
-        "batch_id": F.lit(batch_id).cast("long"),
-    }).select(*_CACHE.fieldNames(), "bucket", "batch_id")
-    rows.repartition("bucket").write.option("partitionOverwriteMode", "dynamic").partitionBy(
-        "batch_id", "bucket").mode("overwrite").parquet(path)
+    }).select(*_CACHE.fieldNames(), "bucket")
+    _replace_batch(rows.repartition("bucket"), batch, ("batch", "bucket")).parquet(path)
 
 
 def bucket():
@@ -143,12 +148,10 @@ def read_features(spark: SparkSession, path: str, keys: DataFrame | None = None)
     if keys is not None:
         wanted = keys.select("run_id").distinct().withColumn("bucket", bucket())
         rows = rows.join(wanted, ["bucket", "run_id"], "left_semi")
-    return latest(rows, "run_id", "timestamp", "event_id").drop("bucket", "batch_id")
+    return latest(rows, "run_id", "timestamp", "event_id").drop("bucket", "batch")
 
 
 def compact_features(spark: SparkSession, path: str, target: str) -> None:
     """Write the newest snapshot per run of all batches to a new folder."""
-    rows = read_features(spark, path).withColumn("bucket", bucket()).withColumn(
-        "batch_id", F.lit(-1).cast("long"))
-    rows.repartition("bucket").write.partitionBy("batch_id", "bucket").mode("overwrite").parquet(
-        target)
+    rows = read_features(spark, path).withColumn("bucket", bucket())
+    _replace_batch(rows.repartition("bucket"), FULL_BATCH, ("batch", "bucket")).parquet(target)

@@ -30,14 +30,14 @@ def to_messages(rows: DataFrame, message_type: str, *keep: str) -> DataFrame:
 def write_topic(messages: DataFrame, topic: str, fmt: str = "kafka", **options: str) -> None:
     """Write a batch of messages: to a Kafka topic, or with `path` to a folder per topic.
 
-    Kafka needs the connector on the class path and `kafka__bootstrap__servers`.
+    With `batch` a folder write replaces an earlier try of that batch. Kafka needs the connector on the class path and `kafka__bootstrap__servers`.
     """
     settings = {key.replace("__", "."): value for key, value in options.items()}
     if fmt == "kafka":
         messages.select("value").write.format("kafka").options(topic=topic, **settings).save()
     else:
         path = f"{settings.pop('path')}/{topic}"
-        batch_id = settings.pop("batch_id", None)
-        path = path if batch_id is None else f"{path}/batch_id={batch_id}"
-        mode = "append" if batch_id is None else "overwrite"
+        batch = settings.pop("batch", None)
+        path = path if batch is None else f"{path}/batch={batch}"
+        mode = "append" if batch is None else "overwrite"
         messages.select("value").write.format(fmt).options(**settings).mode(mode).save(path)

@@ -16,7 +16,7 @@ _MISSING = "PATH_NOT_FOUND"
 def read_lake(spark: SparkSession, path: str, schema: T.StructType = LAKE) -> DataFrame:
     """Lake records under a fixed schema; a lake that is not there yet is an empty frame."""
     try:
-        return spark.read.schema(schema).json(path)
+        return spark.read.schema(schema).json(path).select(*schema.fieldNames())
     except AnalysisException as error:
         if error.getCondition() != _MISSING:
             raise
