@@ -141,7 +141,7 @@ def form_changes(events: DataFrame, last_n: int = C.KILL_HISTORY,
 def stale_forms(events: DataFrame, horizon: int, stale_ms: int = C.STALE_MS,
                 grace_ms: int = C.GRACE_MS, last_n: int = C.KILL_HISTORY,
                 min_n: int = C.KILL_MIN) -> DataFrame:
-    """Form messages with staleness, up to the time `horizon`: (run_id, at, form, is_stale).
+    """Form messages with staleness, up to the time `horizon`: (run_id, moment, form, is_stale).
 
     `stale_ms` after a message without a next one the form flips, and kills are ignored for
     `grace_ms`. With a grace at least as long as the stale period no kill counts after the first
@@ -169,10 +169,10 @@ def stale_forms(events: DataFrame, horizon: int, stale_ms: int = C.STALE_MS,
         "run_id", "last", "form", F.explode(F.sequence(F.lit(1).cast("long"), rounds)).alias("i"))
     odd = F.col("i") % 2 == 1
     stale = flips.select(
-        "run_id", (F.col("last") + F.col("i") * stale_ms).alias("at"),
+        "run_id", (F.col("last") + F.col("i") * stale_ms).alias("moment"),
         F.when(odd, _opposite(F.col("form"))).otherwise(F.col("form")).alias("form"),
         F.lit(True).alias("is_stale"))
-    return live.select("run_id", F.col("timestamp").alias("at"), "form",
+    return live.select("run_id", F.col("timestamp").alias("moment"), "form",
                        F.lit(False).alias("is_stale")).unionByName(stale)
 
 
@@ -210,7 +210,7 @@ def dash_mode(events: DataFrame, last_n: int = C.DASH_HISTORY) -> DataFrame:
 
 def prediction_updates(events: DataFrame, tick_ms: int = C.PREDICTION_TICK_MS,
                        last_n: int = C.DASH_HISTORY) -> DataFrame:
-    """Predictions that changed: (run_id, at, prediction).
+    """Predictions that changed: (run_id, moment, prediction).
 
     A run's clock ticks every `tick_ms` from its first dash on; a tick looks at the dashes up to
     and including its own moment. Only the last dash of a tick can change the prediction, so ticks
@@ -229,7 +229,7 @@ def prediction_updates(events: DataFrame, tick_ms: int = C.PREDICTION_TICK_MS,
             rows = rows.withColumn("lead_in", F.lit(2))
         frame = replace(frame, df=rows, order_by=("tick",)).settled().with_tail(1)
         return changes(frame, "prediction", C.NO_PREDICTION).select(
-            "run_id", (F.col("since") + F.col("tick") * tick_ms).alias("at"), "prediction")
+            "run_id", (F.col("since") + F.col("tick") * tick_ms).alias("moment"), "prediction")
 
     return by_run(_dash_rows(events), work)
 

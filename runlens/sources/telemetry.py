@@ -52,12 +52,15 @@ def _fields(events: DataFrame, runs: int | None) -> DataFrame:
     )
 
 
-def gameplay_events(spark: SparkSession, sf_dir: str, runs: int | None = None) -> DataFrame:
-    """Flat gameplay events of the whole `events` table.
+def gameplay_events(spark: SparkSession, sf_dir: str, runs: int | None = None,
+                    source: DataFrame | None = None) -> DataFrame:
+    """Flat gameplay events of the whole `events` table, or of a stream `source` of it.
 
     `runs` folds the users into that many long runs. Column `k` is kept for derived replies.
     """
-    raw = _fields(spark.read.parquet(f"{sf_dir}/events.parquet"), runs)
+    if source is None:
+        source = spark.read.parquet(f"{sf_dir}/events.parquet")
+    raw = _fields(source, runs)
     vector = F.col("event_type").isin(C.MOVEMENT, C.DASH, C.KILL)
     return raw.select(
         "event_id", "timestamp", "event_type", "player_id", "run_id",
