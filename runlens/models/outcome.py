@@ -44,17 +44,20 @@ def train(training: DataFrame, archetypes: Sequence[str] = C.ARCHETYPES,
     The loop is over the fixed archetypes; each fit is a distributed job on its own table. An
     archetype without rows has no model and therefore no weights.
     """
-    rows = labelled(training)
     features = list(features or infer_features(training))
-    # Whole numbers by archetype, so that empty tables are known before any fit starts.
-    filled = {row[0] for row in rows.filter(F.col("boss_archetype").isin(*archetypes))
-              .groupBy("boss_archetype").count().collect()}
-    weights = []
-    for archetype in archetypes:
-        if archetype in filled:
-            of_one = rows.filter(F.col("boss_archetype") == archetype).select(
-                *features, F.col("outcome").cast("double"))
-            weights += _weights(archetype, fit(of_one, features), features)
+    rows = labelled(training).filter(F.col("boss_archetype").isin(*archetypes)).select(
+        "boss_archetype", *features, F.col("outcome").cast("double"))
+    # Every iteration of every fit reads these few columns again.
+    rows.persist()
+    try:
+        filled = {row[0] for row in rows.groupBy("boss_archetype").count().collect()}
+        weights = []
+        for archetype in archetypes:
+            if archetype in filled:
+                model = fit(rows.filter(F.col("boss_archetype") == archetype), features)
+                weights += _weights(archetype, model, features)
+    finally:
+        rows.unpersist()
     return training.sparkSession.createDataFrame(weights, WEIGHTS)
 
 

@@ -75,7 +75,7 @@ p AS (SELECT *, {_CONTRIBUTIONS} FROM e),
 running AS (
   SELECT event_id, run_id, timestamp, event_type, arch, enc,
     first_value(player_id) OVER w AS player_id,
-    sum(dash) OVER w AS total_dashes, sum(dealt) OVER w AS total_damage_dealt,
+    (sum(dash) OVER w)::BIGINT AS total_dashes, sum(dealt) OVER w AS total_damage_dealt,
     sum(taken) OVER w AS total_damage_taken, sum(elite) OVER w AS damage_taken_from_elites,
     list(ratio) FILTER (ratio IS NOT NULL) OVER w AS ratios
   FROM p WINDOW w AS (PARTITION BY run_id ORDER BY timestamp, event_id)
@@ -111,7 +111,7 @@ maps AS (
         GROUP BY run_id, upg) GROUP BY run_id
 ),
 vectors AS (
-  SELECT run_id, arg_min(player_id, timestamp) AS player_id, sum(dash) AS total_dashes,
+  SELECT run_id, arg_min(player_id, timestamp) AS player_id, sum(dash)::BIGINT AS total_dashes,
     sum(dealt) AS total_damage_dealt, sum(taken) AS total_damage_taken,
     sum(elite) AS damage_taken_from_elites, coalesce(any_value(avg_hp), 1.0) AS avg_hp_percent,
     coalesce(any_value(counts), '{{}}') AS upgrade_counts

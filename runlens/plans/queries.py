@@ -22,13 +22,14 @@ from runlens.operators import snapshots as S
 from runlens.operators import training as R
 from runlens.operators.runs import ORDER, newest, union_all
 from runlens.schemas import ENVELOPE, FLAT_EVENT, NUMERIC_FEATURES
-from runlens.session import scratch_dir
+from runlens.session import scratch_dir, stage
 from runlens.sinks import tables as sinks
 from runlens.sinks.topics import to_messages
 from runlens.sources import events as X
 from runlens.sources import tables as sources
 from runlens.sources.telemetry import gameplay_events, gameplay_records
 from runlens.streaming import profile as P
+from runlens.streaming.jobs import run_bootstrap
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -63,6 +64,11 @@ def shown(rows: DataFrame, **digits: int) -> DataFrame:
     return rows.select(*columns)
 
 
+def stored_records(events: DataFrame) -> DataFrame:
+    """Training records as a written table, for work that reads them more than once."""
+    return stage(R.training_records(events), "records")
+
+
 def _folder(spark: SparkSession, label: str) -> str:
     return f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
@@ -207,14 +213,14 @@ def training_rows(events):
 
 @query
 def bootstrap_tables(spark, sf_dir):
-    """Training tables rebuilt from the seeded lake, as read back from storage."""
-    records = R.to_lake(R.split_type(R.training_records(gameplay_events(spark, sf_dir)))[1])
-    lake = union_all(records, sinks.new_seeds(records, sources.seed_rows(spark)))
-    path = _folder(spark, "training")
-    sinks.overwrite_training(R.oversampled_history(lake), path)
-    return shown(sinks.read_training(spark, path).select(
-        "boss_archetype", *R.to_training(lake).columns), total_damage_dealt=2,
-        total_damage_taken=2, damage_taken_from_elites=2)
+    """Training tables rebuilt from a lake of boss records, as read back from storage."""
+    lake, path = _folder(spark, "lake"), _folder(spark, "training")
+    records = R.training_records(gameplay_events(spark, sf_dir))
+    sinks.append_lake(R.split_type(records)[1], lake, "first")
+    run_bootstrap(spark, lake, path)
+    stored = sinks.read_training(spark, path)
+    return shown(stored.select("boss_archetype", *R.to_training(stored).columns),
+                 total_damage_dealt=2, total_damage_taken=2, damage_taken_from_elites=2)
 
 
 @on_events
@@ -432,7 +438,7 @@ def stale_enemy_forms(events):
 
 @on_events
 def z_scores(events):
-    scored = R.standardise(R.training_records(events))
+    scored = R.standardise(stored_records(events))
     return shown(scored.select("event_id", "boss_archetype", *NUMERIC_FEATURES),
                  **{name: 6 for name in NUMERIC_FEATURES})
 
@@ -606,14 +612,15 @@ def parsed_replies(events):
 @on_events
 def model_weights(events):
     """Weights of the fitted models, from the oversampled training rows."""
-    return M.feature_weights(M.train(R.oversampled_fights(R.training_records(events)).drop(
-        "event_id")))
+    return M.feature_weights(M.train(R.oversampled_fights(R.training_records(events)),
+                                     features=NUMERIC_FEATURES))
 
 
 @on_events
 def scored_encounters(events):
     """Every encounter snapshot scored by the model of its archetype, and offered a bargain."""
-    weights = M.train(R.oversampled_fights(R.training_records(events)).drop("event_id"))
+    weights = M.train(R.oversampled_fights(R.training_records(events)),
+                      features=NUMERIC_FEATURES)
     taken = S.snapshots(events, upgrades=False).filter(F.col("event_type") == C.ENCOUNTER)
     replied = M.score(taken, weights).withColumn("reply", F.lit("{}"))
     return _offered(O.offers(replied), "event_id", "boss_archetype", "prediction", "confidence",

@@ -41,9 +41,8 @@ def scratch_dir(spark: SparkSession) -> str:
         return shared.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_CONF} to a folder every executor can reach")
-    local = tempfile.mkdtemp(prefix="runlens-")
-    spark.conf.set(CHECKPOINT_CONF, local)
-    return local
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="runlens-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:

@@ -8,13 +8,16 @@ from pyspark.sql import functions as F
 
 from runlens import constants as C
 
+_UTC = ("UTC", "Etc/UTC", "GMT", "Z", "+00:00")
+
 
 def _milliseconds(events: DataFrame) -> Column:
     ts = F.col("ts")
-    if dict(events.dtypes)["ts"] == "timestamp_ntz":
+    zone = events.sparkSession.conf.get("spark.sql.session.timeZone")
+    if dict(events.dtypes)["ts"] == "timestamp_ntz" and zone not in _UTC:
         # Zone-free times count as UTC, whatever the session's zone.
-        ts = F.convert_timezone(F.lit("UTC"), F.current_timezone(), ts).cast("timestamp")
-    return F.unix_millis(ts)
+        ts = F.convert_timezone(F.lit("UTC"), F.current_timezone(), ts)
+    return F.unix_millis(ts.cast("timestamp"))
 
 
 def _event_type() -> Column:
