@@ -20,7 +20,7 @@ from runlens.session import stage
 
 MAX_ROWS_CONF = "spark.runlens.maxRowsPerRun"
 MAX_ROWS = 2_000_000
-# At most this many keys can exceed the limit, which bounds the list of large keys.
+# The list of large keys never grows beyond this.
 MAX_LARGE_KEYS = 100_000
 
 ORDER = ("timestamp", "event_id")
@@ -134,13 +134,17 @@ def max_rows_per_run(df: DataFrame) -> int:
 
 
 def _large_keys(rows: DataFrame, by: tuple[str, ...]) -> tuple[DataFrame, int] | None:
-    """Keys with more rows than one task should take, and the number of chunks they need."""
+    """Keys with more rows than one task should take, and the number of chunks they need.
+
+    One pass: a partial count per key, of which only large keys reach the driver. Should they be
+    too many to list, the limit rises to a size that at most that many keys can exceed.
+    """
     limit = max_rows_per_run(rows)
-    total = rows.count()
-    if total <= limit:
-        return None
-    limit = max(limit, total // MAX_LARGE_KEYS)
-    large = rows.groupBy(*by).count().filter(F.col("count") > limit).collect()
+    counts = rows.groupBy(*by).count()
+    large = counts.filter(F.col("count") > limit).limit(MAX_LARGE_KEYS + 1).collect()
+    if len(large) > MAX_LARGE_KEYS:
+        limit = max(limit, rows.count() // MAX_LARGE_KEYS)
+        large = counts.filter(F.col("count") > limit).collect()
     if not large:
         return None
     chunks = 1 + sum(row["count"] for row in large) // max(1, limit // 2)

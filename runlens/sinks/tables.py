@@ -135,7 +135,12 @@ def upsert_latest(snapshots: DataFrame, path: str, batch: str) -> None:
     rows = latest(snapshots, "run_id", "timestamp", "event_id").withColumns({
         "outcome": F.lit(-1), "weight": F.lit(1.0), "bucket": bucket(),
     }).select(*_CACHE.fieldNames(), "bucket")
-    _replace_batch(rows.repartition("bucket"), batch, ("batch", "bucket")).parquet(path)
+    _replace_batch(_by_bucket(rows), batch, ("batch", "bucket")).parquet(path)
+
+
+def _by_bucket(rows: DataFrame) -> DataFrame:
+    """One task per bucket, sorted by run, so that files can be skipped by their run ids."""
+    return rows.repartition("bucket").sortWithinPartitions("bucket", "run_id")
 
 
 def bucket():
@@ -143,15 +148,20 @@ def bucket():
 
 
 def read_features(spark: SparkSession, path: str, keys: DataFrame | None = None) -> DataFrame:
-    """Newest snapshot per run; `keys` restricts buckets and runs before anything is ranked."""
+    """Newest snapshot per run; `keys` restricts folders and runs before anything is ranked.
+
+    Only the numbers of the buckets that hold keys, 256 at most, come to the driver: they prune
+    the folders to read. The keys themselves are joined.
+    """
     rows = spark.read.schema(_STORED).parquet(path)
     if keys is not None:
-        wanted = keys.select("run_id").distinct().withColumn("bucket", bucket())
-        rows = rows.join(wanted, ["bucket", "run_id"], "left_semi")
+        wanted = keys.select("run_id").distinct()
+        used = [row[0] for row in wanted.select(bucket().alias("b")).distinct().collect()]
+        rows = rows.filter(F.col("bucket").isin(used)).join(wanted, "run_id", "left_semi")
     return latest(rows, "run_id", "timestamp", "event_id").drop("bucket", "batch")
 
 
 def compact_features(spark: SparkSession, path: str, target: str) -> None:
     """Write the newest snapshot per run of all batches to a new folder."""
     rows = read_features(spark, path).withColumn("bucket", bucket())
-    _replace_batch(rows.repartition("bucket"), FULL_BATCH, ("batch", "bucket")).parquet(target)
+    _replace_batch(_by_bucket(rows), FULL_BATCH, ("batch", "bucket")).parquet(target)
