@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from runlens import constants as C
 from runlens.functions.vectors import cosine2, dash_direction
 from runlens.operators.features import run_player
-from runlens.operators.runs import ORDER, RunFrame, by_run
+from runlens.operators.runs import ORDER, RunFrame, by_run, large_keys
 from runlens.sources.events import filter_type
 
 _DIRECTIONS = ("up", "down", "left", "right")
@@ -134,8 +135,12 @@ def brute_forms(events: DataFrame, last_n: int = C.KILL_HISTORY,
 def form_changes(events: DataFrame, last_n: int = C.KILL_HISTORY,
                  min_n: int = C.KILL_MIN) -> DataFrame:
     """Kills that change the enemy form, with the new form."""
-    return by_run(_kill_rows(events), lambda frame: changes(_forms(_alignment(
-        _velocity(frame), last_n, min_n)), "form", C.SKIRMISHER).select("run_id", *ORDER, "form"))
+    return by_run(_kill_rows(events), _form_changes(last_n, min_n))
+
+
+def _form_changes(last_n: int, min_n: int) -> Callable[[RunFrame], DataFrame]:
+    return lambda frame: changes(_forms(_alignment(
+        _velocity(frame), last_n, min_n)), "form", C.SKIRMISHER).select("run_id", *ORDER, "form")
 
 
 def stale_forms(events: DataFrame, horizon: int, stale_ms: int = C.STALE_MS,
@@ -150,7 +155,10 @@ def stale_forms(events: DataFrame, horizon: int, stale_ms: int = C.STALE_MS,
     """
     if grace_ms < stale_ms:
         raise ValueError("a grace shorter than the stale period needs the stream processor")
-    messages = form_changes(events, last_n, min_n).filter(F.col("timestamp") <= horizon)
+    kills = _kill_rows(events)
+    small = large_keys(kills) is None
+    messages = by_run(kills, _form_changes(last_n, min_n), checked=small).filter(
+        F.col("timestamp") <= horizon)
 
     def work(frame: RunFrame) -> DataFrame:
         frame = frame.with_tail(1)
@@ -161,7 +169,7 @@ def stale_forms(events: DataFrame, horizon: int, stale_ms: int = C.STALE_MS,
         return frame.on(frame.df.withColumn("seen", seen)).own().filter("seen = 0").select(
             "run_id", *ORDER, "form")
 
-    live = by_run(messages, work, measure=filter_type(events, C.KILL))
+    live = by_run(messages, work, checked=small)
     ends = live.groupBy("run_id").agg(
         F.max("timestamp").alias("last"), F.max_by("form", F.struct(*ORDER)).alias("form"))
     rounds = F.floor((F.lit(horizon) - F.col("last")) / stale_ms)

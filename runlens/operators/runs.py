@@ -60,6 +60,10 @@ class RunFrame:
         """Write split rows proper out once before they are read for both totals and windows."""
         return self.on(stage(self.own(), "runs")) if self.split else self
 
+    def gathered(self) -> RunFrame:
+        """Place the rows of each run, or chunk, in one partition for all windows to come."""
+        return self.on(self.df.repartition(*self.keys))
+
     def own(self) -> DataFrame:
         """The rows proper, without lead-in rows."""
         return self.df.filter(F.col("lead_in") == _OWN) if self.split else self.df
@@ -133,7 +137,8 @@ def max_rows_per_run(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get(MAX_ROWS_CONF, str(MAX_ROWS)))
 
 
-def _large_keys(rows: DataFrame, by: tuple[str, ...]) -> tuple[DataFrame, int] | None:
+def large_keys(rows: DataFrame, by: tuple[str, ...] = ("run_id",),
+               ) -> tuple[DataFrame, int] | None:
     """Keys with more rows than one task should take, and the number of chunks they need.
 
     One pass: a partial count per key, of which only large keys reach the driver. Should they be
@@ -158,16 +163,13 @@ def by_run(
     work: Callable[[RunFrame], DataFrame],
     by: tuple[str, ...] = ("run_id",),
     order_by: tuple[str, ...] = ORDER,
-    measure: DataFrame | None = None,
+    checked: bool = False,
 ) -> DataFrame:
     """Apply `work` to runs that fit one task and, with split runs, to those that do not.
 
-    `measure` holds at least as many rows per run as `rows` has per key and is cheaper to count: if
-    it has no large run, `rows` has no large key and is not counted.
+    `checked` says that the caller has counted rows that hold these and found no large run.
     """
-    large = None
-    if measure is None or _large_keys(measure, ("run_id",)):
-        large = _large_keys(rows, by)
+    large = None if checked else large_keys(rows, by)
     if large is None:
         return work(RunFrame(rows, by, order_by))
     keys, chunks = large

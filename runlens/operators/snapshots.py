@@ -9,7 +9,7 @@ from runlens import constants as C
 from runlens.functions.payload import encounter_or_new
 from runlens.functions.vectors import hp_ratio
 from runlens.operators.features import contributions, counts_map
-from runlens.operators.runs import ORDER, RunFrame, by_run, union_all
+from runlens.operators.runs import ORDER, RunFrame, by_run, large_keys, union_all
 from runlens.sources.events import filter_type, guard_triggers, known_events, with_archetype
 
 TOTALS = ("total_dashes", "total_damage_dealt", "total_damage_taken", "damage_taken_from_elites")
@@ -32,19 +32,20 @@ def _profile_rows(events: DataFrame, *extra: str) -> DataFrame:
 def _with_profile(frame: RunFrame, last_n: int) -> RunFrame:
     """Running totals, first player and recent mean HP at each row.
 
-    All windows share one shuffle by run: the frame over readings only adds a sort.
+    One shuffle by run serves all windows. The frame over readings comes first, so that every
+    other window shares the second sort.
     """
     frame = frame.with_totals(sums=TOTALS, firsts=("player_id",)).with_tail(
-        last_n, F.col("is_reading"))
+        last_n, F.col("is_reading")).gathered()
+    recent = F.avg("hp_ratio").over(frame.last_rows(last_n, "is_reading"))
+    rows = frame.df.withColumn("_mean", F.when(F.col("is_reading"), recent))
     running = frame.running()
     kept = [name for name in frame.df.columns if name not in (*TOTALS, "player_id")]
-    rows = frame.df.select(
-        *kept, *[F.sum(name).over(running).alias(name) for name in TOTALS],
-        F.first("player_id", ignorenulls=True).over(running).alias("player_id"))
-    recent = F.avg("hp_ratio").over(frame.last_rows(last_n, "is_reading"))
-    rows = rows.withColumn("_mean", F.when(F.col("is_reading"), recent))
     mean = F.last("_mean", ignorenulls=True).over(running)
-    return frame.on(rows.withColumn("avg_hp_percent", F.coalesce(mean, F.lit(1.0))).drop("_mean"))
+    return frame.on(rows.select(
+        *kept, *[F.sum(name).over(running).alias(name) for name in TOTALS],
+        F.first("player_id", ignorenulls=True).over(running).alias("player_id"),
+        F.coalesce(mean, F.lit(1.0)).alias("avg_hp_percent")))
 
 
 def _encounter() -> Column:
@@ -61,11 +62,13 @@ def snapshots(events: DataFrame, last_n: int = C.HP_HISTORY,
             "run_id", *ORDER, "player_id", "event_type", "boss_archetype", "encounter_id",
             _encounter().alias("encounterId"), *TOTALS, "avg_hp_percent")
 
-    taken = by_run(_profile_rows(events), work)
-    return with_upgrades(taken, events, "event_id") if upgrades else taken
+    rows = _profile_rows(events)
+    small = large_keys(rows) is None
+    taken = by_run(rows, work, checked=small)
+    return with_upgrades(taken, events, "event_id", small) if upgrades else taken
 
 
-def running_upgrades(events: DataFrame) -> DataFrame:
+def running_upgrades(events: DataFrame, checked: bool = False) -> DataFrame:
     """Upgrade counts so far at each feature trigger: (run_id, event_id, upgrade_counts).
 
     Each trigger gets one mark per different upgrade of its run, which is one per map entry it may
@@ -73,7 +76,6 @@ def running_upgrades(events: DataFrame) -> DataFrame:
     itself is never collected.
     """
     events = guard_triggers(events)
-    moments = filter_type(events, C.UPGRADE, *C.TRIGGER_EVENTS)
     choices = filter_type(events, C.UPGRADE).select(
         "run_id", *ORDER, "chosen_upgrade_id", F.lit(1).alias("n"))
     offered = choices.groupBy("run_id").agg(F.collect_set("chosen_upgrade_id").alias("ids"))
@@ -87,15 +89,19 @@ def running_upgrades(events: DataFrame) -> DataFrame:
         return rows.filter("n = 0 and so_far > 0").select(
             "run_id", "event_id", "chosen_upgrade_id", "so_far")
 
+    if not checked:
+        # A run's triggers and choices bound the rows of each of its upgrades.
+        checked = large_keys(filter_type(events, C.UPGRADE, *C.TRIGGER_EVENTS)) is None
     entries = by_run(union_all(choices, marks), work, by=("run_id", "chosen_upgrade_id"),
-                     measure=moments)
+                     checked=checked)
     return entries.groupBy("run_id", "event_id").agg(counts_map(
         F.collect_list(F.struct("chosen_upgrade_id", "so_far"))).alias("upgrade_counts"))
 
 
-def with_upgrades(rows: DataFrame, events: DataFrame, snapshot_id: str) -> DataFrame:
+def with_upgrades(rows: DataFrame, events: DataFrame, snapshot_id: str,
+                  checked: bool = False) -> DataFrame:
     """Add the upgrade map of the snapshot named by column `snapshot_id`."""
-    maps = running_upgrades(events).withColumnRenamed("event_id", snapshot_id)
+    maps = running_upgrades(events, checked).withColumnRenamed("event_id", snapshot_id)
     empty = F.create_map().cast("map<string,int>")
     return rows.join(maps, ["run_id", snapshot_id], "left").withColumn(
         "upgrade_counts", F.coalesce("upgrade_counts", empty))
@@ -157,5 +163,7 @@ def fights_with_features(events: DataFrame, last_n: int = C.HP_HISTORY,
         return with_archetype(filter_type(found, *C.FIGHT_EVENTS)).filter(
             "snapshot is not null").select(*FIGHT_COLUMNS, "snapshot.*")
 
-    found = by_run(_profile_rows(events, "win"), work)
-    return with_upgrades(found, events, "snapshot_id") if upgrades else found
+    rows = _profile_rows(events, "win")
+    small = large_keys(rows) is None
+    found = by_run(rows, work, checked=small)
+    return with_upgrades(found, events, "snapshot_id", small) if upgrades else found
