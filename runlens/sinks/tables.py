@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from runlens import constants as C
 from runlens.operators.training import latest, to_lake
 from runlens.schemas import FEATURE_VECTOR, LAKE, TRAINING
-from runlens.sources.tables import read_lake, seed_rows
+from runlens.sources.tables import read_lake, seed_rows, utc_day
 
 _RECORDS_PER_FILE = "1000"
 BUCKETS = 256
@@ -102,8 +102,7 @@ def seed_if_absent(spark: SparkSession, path: str) -> int:
 
 def with_day(records: DataFrame, moment: str = "record_time") -> DataFrame:
     """Add `dt`, the UTC day of the record."""
-    utc = F.to_utc_timestamp(F.col(moment), F.current_timezone())
-    return records.withColumn("dt", F.date_format(utc, "yyyy-MM-dd"))
+    return records.withColumn("dt", utc_day(F.col(moment)))
 
 
 def land_raw(records: DataFrame, path: str, checkpoint: str, interval: str = "60 seconds",

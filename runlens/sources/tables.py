@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,12 +32,18 @@ def read_landed(spark: SparkSession, path: str, fields: T.StructType | None = No
     return reader.json(path)
 
 
+def utc_day(moment: Column) -> Column:
+    """Day of a timestamp in UTC, whatever the session's zone."""
+    utc = F.to_utc_timestamp(moment, F.current_timezone())
+    return F.date_format(utc, "yyyy-MM-dd")
+
+
 def stage_raw_events(landed: DataFrame) -> DataFrame:
     """Typed staging rows of landed events, with the day they happened."""
     moment = F.timestamp_millis(F.col("timestamp"))
     return landed.select(
         *[F.col(field.name).cast(field.dataType) for field in ENVELOPE.fields],
-        moment.alias("event_time"), F.date_format(moment, "yyyy-MM-dd").alias("dt"))
+        moment.alias("event_time"), utc_day(moment).alias("dt"))
 
 
 def seed_rows(spark: SparkSession) -> DataFrame:

@@ -22,6 +22,7 @@ from runlens.functions.payload import encounter_or_new
 from runlens.functions.vectors import dash_direction
 from runlens.operators.snapshots import TOTALS
 from runlens.schemas import FLAT_EVENT
+from runlens.session import STATE_STORE, STATE_STORE_CONF
 
 SNAPSHOT, TRIGGER, FORM, PREDICTION = "snapshot", "trigger", "form", "prediction"
 
@@ -236,6 +237,8 @@ def profile_stream(events: DataFrame, rules: Rules = Rules(), event_time: bool =
     A micro-batch of one run is sorted in memory, so cap the trigger at the source
     (`maxOffsetsPerTrigger`, `maxFilesPerTrigger`).
     """
+    # Timers and composite state need this state store, whatever session the caller built.
+    events.sparkSession.conf.set(STATE_STORE_CONF, STATE_STORE)
     rows = events.select(*FLAT_EVENT.fieldNames()).withColumns({
         "direction": F.when(F.col("event_type") == C.DASH,
                             dash_direction(F.col("x"), F.col("y"))),
