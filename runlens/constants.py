@@ -23,6 +23,7 @@ FIGHT_EVENTS = (BOSS_DONE, ELITE_DONE)
 NO_ARCHETYPE = "none"
 DEFAULT_UPGRADE = "unknown"
 DEFAULT_ENCOUNTER = "unknown_encounter"
+DEFAULT_ARCHETYPE = "melee"
 
 # --- fixed values: adaptation thresholds ---------------------------------------------------------
 JUGGERNAUT = "juggernaut"

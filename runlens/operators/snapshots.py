@@ -140,6 +140,17 @@ def asof_features(outcomes: DataFrame, taken: DataFrame) -> DataFrame:
     return by_run(sought.unionByName(shots, allowMissingColumns=True), work, order_by=order_by)
 
 
+def unmatched_fights(events: DataFrame) -> DataFrame:
+    """Fights before the first snapshot of their run, which training leaves out.
+
+    The first snapshot per run is a plain aggregate, so no order within the run is needed.
+    """
+    since = guard_triggers(filter_type(events, *C.TRIGGER_EVENTS)).groupBy("run_id").agg(
+        F.min("timestamp").alias("since"))
+    return fights(events).join(since, "run_id", "left").filter(
+        F.col("since").isNull() | (F.col("timestamp") < F.col("since"))).drop("since")
+
+
 def fights_with_features(events: DataFrame, last_n: int = C.HP_HISTORY,
                          upgrades: bool = True) -> DataFrame:
     """Snapshots and their as-of lookup in one ordered pass over the events.

@@ -446,6 +446,9 @@ SELECT run_id, arch AS boss_archetype, {_FEATURES}, upgrade_counts,
 FROM f JOIN vectors USING (run_id)"""),
         "fights_with_snapshots": _with(rec, f"""
 SELECT event_id, run_id, boss_archetype, win, snapshot_id, "encounterId", {_FEATURES} FROM rec"""),
+        "fights_without_snapshots": _with(fights, f"""
+SELECT event_id, run_id, arch AS boss_archetype FROM f WHERE NOT EXISTS (
+  SELECT 1 FROM e WHERE e.run_id = f.run_id AND e.{_TRIGGER} AND e.timestamp <= f.timestamp)"""),
         "kill_velocities": _with(
             kills(g), "SELECT event_id, run_id, x, y, vx, vy FROM vel"),
         "triggers_and_features": _with(snap, """

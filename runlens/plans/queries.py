@@ -273,6 +273,11 @@ def fights_with_snapshots(events):
                  total_damage_dealt=2, total_damage_taken=2, damage_taken_from_elites=2)
 
 
+@on_events
+def fights_without_snapshots(events):
+    return S.unmatched_fights(events).select("event_id", "run_id", "boss_archetype")
+
+
 @on_events
 def kill_velocities(events):
     return A.carry_velocity(events).select("event_id", "run_id", "x", "y", "vx", "vy")

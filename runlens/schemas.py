@@ -16,6 +16,13 @@ FIGHT_EVENT = T.StructType([
     T.StructField("payload", T.MapType(T.StringType(), T.StringType())),
 ])
 
+TRIGGER_MESSAGE = T.StructType([
+    T.StructField("run_id", T.StringType()),
+    T.StructField("encounter_id", T.StringType()),
+    T.StructField("boss_archetype", T.StringType()),
+    T.StructField("reply", T.StringType()),
+])
+
 SESSION_EVENT = T.StructType([T.StructField("event_type", T.StringType())])
 
 

@@ -1,19 +1,22 @@
-"""Streaming jobs: profile fan-out, enrichment of fights, and the bootstrap of training tables."""
+"""Streaming jobs: profile fan-out, enrichment of fights, offers, and the bootstrap of tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from runlens import constants as C
+from runlens.models import offers as O
+from runlens.models import outcome as M
 from runlens.operators import training as R
 from runlens.sinks import tables
 from runlens.sinks.topics import to_messages, write_topic
 from runlens.sources.events import decode_events, filter_type
 from runlens.sources.tables import read_lake
-from runlens.schemas import SESSION_EVENT
+from runlens.schemas import SESSION_EVENT, TRIGGER_MESSAGE
 from runlens.streaming import profile as P
 
 _QUERY_ID = "sql.streaming.queryId"
@@ -91,6 +94,29 @@ def start_enrichment(fights: DataFrame, cache: str, lake: str, training: str, ch
     return start_batches(fights, work, checkpoint, **trigger)
 
 
+def start_offers(records: DataFrame, cache: str, weights: str, checkpoint: str,
+                 topic_format: str = "kafka", topic_options: dict[str, str] | None = None,
+                 **trigger) -> StreamingQuery:
+    """Answer encounter triggers with offers on the results topic.
+
+    A trigger may carry the generated `reply`; without one, or without a model for its archetype,
+    it gets the fallback. Triggers whose run has no cached features are dropped.
+    """
+    options = topic_options or {}
+    triggers = decode_events(records, TRIGGER_MESSAGE).withColumn(
+        "boss_archetype", F.lower(F.coalesce("boss_archetype", F.lit(C.DEFAULT_ARCHETYPE))))
+
+    def work(asked: DataFrame, batch: str) -> None:
+        spark = asked.sparkSession
+        features = tables.read_features(spark, cache, asked)
+        models = spark.read.schema(M.WEIGHTS).parquet(weights)
+        offered = O.offers(M.score(O.triggers_with_features(asked, features), models))
+        sink = {**options, **({} if topic_format == "kafka" else {"batch": batch})}
+        write_topic(to_messages(offered, C.RESULT_MESSAGE), C.RESULTS_TOPIC, topic_format, **sink)
+
+    return start_batches(triggers, work, checkpoint, **trigger)
+
+
 def run_bootstrap(spark, lake: str, training: str, dry_run: bool = False) -> DataFrame:
     """Seed the lake once, then rebuild the training tables from all its records."""
     if not dry_run:

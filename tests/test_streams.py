@@ -12,6 +12,7 @@ from conftest import SMALL, values
 from pyspark.sql import functions as F
 
 from runlens import constants as C
+from runlens.models import outcome as M
 from runlens.operators import adaptation as A
 from runlens.operators import snapshots as S
 from runlens.operators import training as R
@@ -195,6 +196,32 @@ def test_enrichment_and_bootstrap(spark, tmp_path):
     assert rebuilt.filter("boss_archetype = 'final'").count() >= 20
 
 
+def test_offers_on_triggers(spark, tmp_path):
+    """A model answers its archetype; a missing model or reply gives the fallback."""
+    cache, weights, folder, topics = (
+        str(tmp_path / name) for name in ("cache", "weights", "in", "topics"))
+    taken = S.snapshots(gameplay_events(spark, SMALL))
+    tables.upsert_latest(taken, cache, "all")
+    run = taken.agg(F.min("run_id")).first()[0]
+    spark.createDataFrame([("melee", "total_dashes", 1.0, -1000.0, 1.0, 0.0)], M.WEIGHTS
+                          ).write.parquet(weights)
+    asked = [{"run_id": run, "encounter_id": "a", "reply": "{}"},
+             {"run_id": run, "encounter_id": "b", "boss_archetype": "final", "reply": "{}"},
+             {"run_id": run, "encounter_id": "c"}, {"run_id": "nobody", "encounter_id": "d"},
+             {"run_id": run}]
+    spark.createDataFrame([(json.dumps(row),) for row in asked], "value string").coalesce(
+        1).write.text(folder)
+    finish(jobs.start_offers(read_events(spark, "text", path=folder), cache, weights,
+                             str(tmp_path / "cp"), "parquet", {"path": topics}, **ONCE))
+    sent = [json.loads(json.loads(value)["payload"])
+            for value in texts(spark.read.parquet(f"{topics}/{C.RESULTS_TOPIC}"))]
+    dialogue = {row["encounterId"]: row["dialogue"] for row in sent}
+    assert dialogue == {"a": C.REPLY_DIALOGUE, "b": C.FALLBACK_DIALOGUE, "c": C.FALLBACK_DIALOGUE}
+    assert all(len(row["choices"]) == 2 and row["playerId"].startswith("player") for row in sent)
+    won = next(row for row in sent if row["encounterId"] == "a")
+    assert won["choices"][0]["debuffs"] and not won["choices"][0]["buffs"]
+
+
 def test_landing(spark, tmp_path):
     records = gameplay_records(spark, SMALL)
     folder, landed = str(tmp_path / "in"), str(tmp_path / "landed")
