@@ -56,7 +56,7 @@ def _alignment(frame: RunFrame, last_n: int, min_n: int) -> RunFrame:
     """
     cosine = cosine2(F.col("vx"), F.col("vy"), F.col("x"), F.col("y"))
     frame = frame.on(frame.df.withColumn("cosine", cosine))
-    frame = frame.with_tail(last_n, F.col("cosine").isNotNull())
+    frame = frame.with_tail(last_n, ["cosine"], F.col("cosine").isNotNull())
     rows = frame.df.withColumn("_has", F.col("cosine").isNotNull())
     recent = F.reverse(F.collect_list("cosine").over(frame.last_rows(last_n, "_has")))
     rows = rows.withColumn("_recent", F.when(F.col("_has"), recent))
@@ -161,7 +161,7 @@ def stale_forms(events: DataFrame, horizon: int, stale_ms: int = C.STALE_MS,
         F.col("timestamp") <= horizon)
 
     def work(frame: RunFrame) -> DataFrame:
-        frame = frame.with_tail(1)
+        frame = frame.with_tail(1, [])
         before = F.lag("timestamp").over(frame.window())
         late = F.coalesce((F.col("timestamp") - before >= stale_ms).cast("int"), F.lit(0))
         frame = frame.on(frame.df.withColumn("late", late)).settled().with_totals(sums=("late",))
@@ -201,7 +201,7 @@ def _frequency(recent: str, name: str) -> Column:
 
 def _modes(frame: RunFrame, last_n: int) -> RunFrame:
     """Most frequent of the last directions; of equals, the one seen most recently."""
-    frame = frame.with_totals(firsts=("since",)).with_tail(last_n)
+    frame = frame.with_totals(firsts=("since",)).with_tail(last_n, ["direction"])
     rows = frame.df.withColumns({
         "_recent": F.reverse(F.collect_list("direction").over(frame.last_rows(last_n))),
         "since": F.first("since", ignorenulls=True).over(frame.running()),
@@ -235,7 +235,7 @@ def prediction_updates(events: DataFrame, tick_ms: int = C.PREDICTION_TICK_MS,
         rows = ticks.select("run_id", "tick", "last.*")
         if frame.split:
             rows = rows.withColumn("lead_in", F.lit(2))
-        frame = replace(frame, df=rows, order_by=("tick",)).settled().with_tail(1)
+        frame = replace(frame, df=rows, order_by=("tick",)).settled().with_tail(1, ["prediction"])
         return changes(frame, "prediction", C.NO_PREDICTION).select(
             "run_id", (F.col("since") + F.col("tick") * tick_ms).alias("moment"), "prediction")
 

@@ -103,18 +103,20 @@ class RunFrame:
         """Head each chunk with rows the caller computed, one per (run, chunk)."""
         return self._lead(rows, _TOTALS) if self.split else self
 
-    def with_tail(self, n: int, qualifies: Column | None = None) -> RunFrame:
+    def with_tail(self, n: int, columns: Sequence[str],
+                  qualifies: Column | None = None) -> RunFrame:
         """Head each chunk with the last n qualifying rows of all chunks before it.
 
+        The rows carry the named columns and their place in the order, nothing else.
+
         Only chunks that hold qualifying rows take part in the frame of n chunks, so the frame
         always reaches n rows if the run has them. Arrays never exceed n*n rows.
         """
         if not self.split:
             return self
         hit = F.lit(True) if qualifies is None else F.coalesce(qualifies, F.lit(False))
-        own = self.own().drop("lead_in")
-        names = [name for name in own.columns if name not in self.keys]
-        row = F.struct(*self.order_by, *[name for name in names if name not in self.order_by])
+        own = self.own().select(*self.keys, *self.order_by, *columns)
+        row = F.struct(*self.order_by, *columns)
         newest = Window.partitionBy(*self.keys).orderBy(*[F.desc(name) for name in self.order_by])
         tails = (
             own.filter(hit).withColumn("_rank", F.row_number().over(newest))

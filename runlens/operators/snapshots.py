@@ -36,7 +36,7 @@ def _with_profile(frame: RunFrame, last_n: int) -> RunFrame:
     other window shares the second sort.
     """
     frame = frame.with_totals(sums=TOTALS, firsts=("player_id",)).with_tail(
-        last_n, F.col("is_reading")).gathered()
+        last_n, ["hp_ratio", "is_reading"], F.col("is_reading")).gathered()
     recent = F.avg("hp_ratio").over(frame.last_rows(last_n, "is_reading"))
     rows = frame.df.withColumn("_mean", F.when(F.col("is_reading"), recent))
     running = frame.running()

@@ -58,7 +58,7 @@ e AS (
 
 
 G = gameplay()
-G_LONG = gameplay(f"user_id % {4}")
+G_LONG = gameplay("user_id % 4")
 
 _CONTRIBUTIONS = """
   CASE WHEN event_type = 'player_dash_event' THEN 1 ELSE 0 END AS dash,

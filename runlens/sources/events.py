@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from runlens import constants as C
 from runlens.functions import payload as P
-from runlens.schemas import ENVELOPE, PAYLOAD
+from runlens.schemas import ENVELOPE, FIGHT_EVENT, PAYLOAD
 
 CORRUPT = "_corrupt_record"
 
@@ -130,8 +130,6 @@ def with_archetype(events: DataFrame) -> DataFrame:
 
 def decode_fights(records: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Fight outcomes straight from records: the narrow schema skips all other payload parsing."""
-    from runlens.schemas import FIGHT_EVENT
-
     fights = filter_type(decode_events(records, FIGHT_EVENT, keep), *C.FIGHT_EVENTS)
     fights = fights.withColumn("boss_archetype", F.col("payload")["boss_archetype"])
     return with_archetype(fights).select(
