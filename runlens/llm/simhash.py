@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runlens.llm.common import ROW, packed, unpacked, utf8
+from runlens.llm.common import packed, unpacked, utf8
 from runlens.llm.components import components
 from runlens.session import stage
 
@@ -118,17 +118,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """One row of each group: that of the least id, any of equally good ones."""
-    rows = stage(packed(docs, id=F.col(f"`{id_col}`"), draw=F.rand(1), fp=fingerprint(
-        F.col(f"`{text_col}`"), shingle)), "printed")
-    parts = groups(rows.select("id", "fp"), max_bits)
-    narrow = rows.select("id", "fp", "draw").join(parts, "fp")
-    best = narrow.filter(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("part").agg(
-        F.min(F.struct("fp", "draw")).alias("best"), F.first("component_id").alias("id"))
-    chosen = best.select("id", "best.fp", "best.draw").withColumn(
-        "id", F.coalesce("id", F.lit(-1)))
-    kept = rows.withColumn("key", F.coalesce("id", F.lit(-1))).join(
-        chosen.withColumnRenamed("id", "key"), ["key", "fp", "draw"], "left_semi")
-    return unpacked(kept)
+    print_ = fingerprint(F.col(f"`{text_col}`"), shingle)
+    narrow = stage(docs.select(F.col(f"`{id_col}`").alias("id"), print_.alias("fp")), "prints")
+    rows = narrow.join(groups(narrow, max_bits), "fp").filter(
+        F.col("id").eqNullSafe(F.col("component_id")))
+    best = rows.groupBy("part").agg(F.min("fp").alias("best"))
+    chosen = stage(rows.join(best, "part").filter("fp = best").groupBy(
+        F.struct("id", "fp").alias("key")).agg(F.count("*").alias("rows")), "chosen")
+    kept = packed(docs, id=F.col(f"`{id_col}`"), fp=print_).withColumn(
+        "key", F.struct("id", "fp")).join(chosen, "key")
+    if chosen.filter("rows > 1").isEmpty():
+        return unpacked(kept)
+    return unpacked(kept.filter("rows = 1")).unionByName(
+        unpacked(kept.filter("rows > 1").dropDuplicates(["id", "fp"])))
 
 
 def hexadecimal(fp: Column) -> Column:
