@@ -25,9 +25,9 @@ def _fits(name: str) -> str:
 ORACLES = {
     "op6_top_k": f"""
     WITH units AS (
-      SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS v FROM embeddings
+      SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
       WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-        AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
     scored AS (
       SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
       FROM units q JOIN units c ON q.vec_id != c.vec_id WHERE q.vec_id % 50 = 0),
@@ -43,23 +43,23 @@ ORACLES = {
     worded AS (
       SELECT *, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS words FROM lines),
     firsts AS (
-      SELECT words, min(doc_id * 1000000000 + no) AS first FROM worded
+      SELECT words, min(doc_id * 1000000000 + no) AS place FROM worded
       WHERE len(words) >= {MIN_WORDS} GROUP BY words),
     variants AS (
-      SELECT words, first, unnest(range(1, len(words) + 1)) AS at FROM firsts
+      SELECT words, place, unnest(range(1, len(words) + 1)) AS gap FROM firsts
       WHERE len(words) >= {NEAR_WORDS}),
     less AS (
-      SELECT words, first, at, words[:at - 1] || words[at + 1:] AS variant FROM variants),
+      SELECT words, place, gap, words[:gap - 1] || words[gap + 1:] AS variant FROM variants),
     near AS (
-      SELECT a.words FROM less a JOIN less b ON a.variant = b.variant AND a.at = b.at
-      WHERE b.first < a.first
+      SELECT a.words FROM less a JOIN less b ON a.variant = b.variant AND a.gap = b.gap
+      WHERE b.place < a.place
       UNION SELECT a.words FROM less a JOIN firsts b ON a.variant = b.words
-      WHERE b.first < a.first AND len(b.words) >= {NEAR_WORDS}
+      WHERE b.place < a.place AND len(b.words) >= {NEAR_WORDS}
       UNION SELECT a.words FROM firsts a JOIN less b ON a.words = b.variant
-      WHERE b.first < a.first AND len(a.words) >= {NEAR_WORDS}),
+      WHERE b.place < a.place AND len(a.words) >= {NEAR_WORDS}),
     marked AS (
       SELECT doc_id, no, line, len(words) >= {MIN_WORDS} AND (
-               doc_id * 1000000000 + no > (SELECT first FROM firsts f WHERE f.words = w.words)
+               doc_id * 1000000000 + no > (SELECT place FROM firsts f WHERE f.words = w.words)
                OR EXISTS (SELECT 1 FROM near WHERE near.words = w.words)) AS gone
       FROM worded w)
     SELECT doc_id, count(*) AS n_lines, count(*) FILTER (coalesce(gone, false)) AS n_removed,
