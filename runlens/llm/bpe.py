@@ -16,19 +16,22 @@ import base64
 from array import array
 from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
-from itertools import chain
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from runlens.llm.common import lists, utf8
 
 #: Pieces of at most so many bytes are merged directly: the leaves of the tree.
-LEAF_BYTES = 24
-#: Encoded pieces and pairs that a worker remembers; beyond it, it starts to collect them anew.
-REMEMBERED = 1 << 18
+LEAF_BYTES = 8
+#: Encoded pieces that a worker remembers; beyond it, it starts to collect them anew.
+REMEMBERED = 3 << 17
+#: Leaves and seams that it remembers: halves of different pieces are often the same.
+REMEMBERED_PARTS = 1 << 17
 #: Longer texts are cut into pieces one by one, so that no list of all pieces is held.
 STREAMED_CHARS = 1 << 20
 
@@ -45,8 +48,11 @@ class Codec(dict):
     def __init__(self, ranks: dict[bytes, int]) -> None:
         super().__init__()
         self.ranks = ranks
-        self.token = {rank: token for token, rank in ranks.items()}
-        self.fits = lru_cache(REMEMBERED)(self._fits)
+        self.token = [b""] * (max(ranks.values(), default=-1) + 1)
+        for token, rank in ranks.items():
+            self.token[rank] = token
+        self.leaf = lru_cache(REMEMBERED_PARTS)(self._merged)
+        self.seam = lru_cache(REMEMBERED_PARTS)(self._seam)
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
         data = piece.encode()
@@ -54,7 +60,7 @@ class Codec(dict):
         ids = self.encode_bytes(data) if whole is None else (whole,)
         if len(self) >= REMEMBERED:
             self.clear()
-        if len(data) <= 64:
+        if len(data) <= 32:
             self[piece] = ids
         return ids
 
@@ -63,7 +69,7 @@ class Codec(dict):
     def encode_bytes(self, data: bytes) -> tuple[int, ...]:
         """Ids of one piece: encode both halves, then join them."""
         if len(data) <= LEAF_BYTES:
-            return self._merged(data)
+            return self.leaf(data)
         half = len(data) // 2
         return self._join(self.encode_bytes(data[:half]), self.encode_bytes(data[half:]))
 
@@ -85,19 +91,21 @@ class Codec(dict):
                 pairs[at] = ranks.get(parts[at] + parts[at + 1], none)
         return tuple([ranks[part] for part in parts])
 
-    def _fits(self, left: int, right: int) -> bool:
-        """Whether two tokens stay apart when their bytes are encoded together."""
-        return self._merged(self.token[left] + self.token[right]) == (left, right)
+    def _seam(self, *tokens: int) -> tuple[int, ...]:
+        """Ids of the bytes of neighbouring tokens."""
+        return self._merged(b"".join([self.token[t] for t in tokens]))
 
     def _join(self, left: tuple[int, ...], right: tuple[int, ...]) -> tuple[int, ...]:
         if not left or not right:
             return left or right
         i = j = 1
         while True:
-            seam = self._merged(b"".join(
-                [self.token[t] for t in chain(left[-i:], right[:j])]))
-            fits_left = i == len(left) or self.fits(left[-i - 1], seam[0])
-            fits_right = j == len(right) or self.fits(seam[-1], right[j])
+            seam = self.seam(*left[-i:], *right[:j])
+            if i == j == 1 and seam == (left[-1], right[0]):
+                return left + right  # the two tokens stay as they are, and so does all beyond
+            fits_left = i == len(left) or self.seam(left[-i - 1], seam[0]) == (
+                left[-i - 1], seam[0])
+            fits_right = j == len(right) or self.seam(seam[-1], right[j]) == (seam[-1], right[j])
             if fits_left and fits_right:
                 return left[:-i] + seam + right[j:]
             i = i if fits_left else min(2 * i, len(left))
@@ -161,7 +169,13 @@ def decoded(ids: Column | str, vocabulary: str) -> Column:
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         decoder = codec(vocabulary)
         for batch in batches:
-            yield pa.array([decoder.decode(value.as_py() or ()) for value in batch], pa.binary())
+            ids = batch.flatten().to_numpy().tolist()
+            ends = accumulate(pc.fill_null(pc.list_value_length(batch), 0).to_pylist())
+            at, texts = 0, []
+            for end in ends:
+                texts.append(decoder.decode(ids[at:end]))
+                at = end
+            yield pa.array(texts, pa.binary())
 
     return _udf(decode, "binary")(ids)
 

@@ -32,7 +32,11 @@ END_ID = 2
 #: Pieces of a group on average: packed by one task, some megabytes of memory.
 GROUP_PIECES = 20_000
 #: Words a worker remembers with their ids; beyond it, it starts to collect them anew.
-REMEMBERED = 1 << 18
+REMEMBERED = 3 << 18
+#: Letters below this code point are letters to every Unicode version.
+_COMMON = 0x250
+#: Words of one call: the tokenizer's time for a text grows faster than its length.
+_AT_ONCE = 32
 _SEED = 20
 _PUNCTUATION = frozenset(".,;:!?")
 
@@ -52,6 +56,8 @@ class Words(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.ends = {rank for token, rank in self.tokenizer.get_vocab().items()
+                     if token.endswith("</w>")}
 
     def __missing__(self, word: bytes) -> tuple[int, ...]:
         text = word.decode("utf-8", "replace")
@@ -59,17 +65,37 @@ class Words(dict):
             ids = self[word[:-1]] + self[word[-1:]]
         else:
             ids = tuple(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        if len(self) >= REMEMBERED:
-            self.clear()
         if len(word) <= 64:
             self[word] = ids
         return ids
 
+    def learn(self, words: set[bytes]) -> None:
+        """Remember the ids of all plain words among `words` by few calls of the tokenizer.
+
+        A word of letters is one run of tokens up to a token that ends a word.
+        """
+        if len(self) >= REMEMBERED:
+            self.clear()
+        plain = {word[:-1] if word[-1:] in b".,;:!?" else word for word in words}
+        texts = [word.decode("utf-8", "replace") for word in plain if word not in self]
+        texts = [text for text in texts if text.isalpha() and max(text) < chr(_COMMON)]
+        for at in range(0, len(texts), _AT_ONCE):
+            some, runs, run = texts[at:at + _AT_ONCE], [], []
+            for number in self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids:
+                run.append(number)
+                if number in self.ends:
+                    runs.append(tuple(run))
+                    run = []
+            if len(runs) == len(some) and not run:
+                self.update(zip([text.encode() for text in some], runs))
+
     def encode(self, data: bytes) -> np.ndarray:
         if b"<|" not in data:  # special tokens are matched before letters are lower-cased
             data = data.lower()
+        words = data.split()
+        self.learn({word for word in words if word not in self})
         ids: list[int] = []
-        for word in data.split():
+        for word in words:
             ids += self[word]
         ids.append(END_ID)
         return np.array(ids, np.uint32)
