@@ -19,7 +19,6 @@ stays empty.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import pyarrow as pa
 import xxhash
@@ -43,12 +42,17 @@ def _signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def halves(words: list[bytes]) -> set[int]:
-    """Keys of a line's first and last words up to the middle, and up to that of a shorter line."""
-    n, found = len(words), set()
-    for size in {n // 2, (n - 1) // 2}:
-        found.add(_signed(xxhash.xxh3_64_intdigest(b" ".join(words[:size]), 1)))
-        found.add(_signed(xxhash.xxh3_64_intdigest(b" ".join(words[n - size:]), 2)))
+def halves(words: list[bytes]) -> list[int]:
+    """Keys of a line's first and last words up to the middle of the shorter line of a pair.
+
+    The line may be the shorter one of a pair, or longer by a word; the shorter length is part of
+    the key.
+    """
+    n, found = len(words), []
+    for shorter in (n, n - 1):
+        size = shorter // 2
+        for side, half in ((0, words[:size]), (1, words[n - size:])):
+            found.append(_signed(xxhash.xxh3_64_intdigest(b" ".join(half), 2 * shorter + side)))
     return found
 
 
@@ -62,7 +66,7 @@ def _line_keys(data: bytes, min_words: int, near_words: int) -> list[dict]:
         words = line.split()
         if len(words) >= min_words:
             found.append({"no": no, "line": line_digest(words),
-                          "halves": list(halves(words)) if len(words) >= near_words else []})
+                          "halves": halves(words) if len(words) >= near_words else []})
     return found
 
 
@@ -77,36 +81,35 @@ def line_keys(text: Column | str, min_words: int, near_words: int) -> Column:
     return F.arrow_udf(keys, _LINES)(utf8(text))
 
 
-def variants(words: list[bytes]) -> list[tuple[bytes, int]]:
-    """Digest of the line without each word in turn, and the place of the word."""
-    return [(line_digest(words[:i] + words[i + 1:]), i) for i in range(len(words))]
+def variants(words: list[bytes]) -> list[tuple[int, int]]:
+    """Keys of the line, at place -1, and of it without each word in turn, with the word's place."""
+    shorter = [words[:i] + words[i + 1:] for i in range(len(words))]
+    return [(_signed(xxhash.xxh3_64_intdigest(b" ".join(some))), at)
+            for at, some in enumerate([words, *shorter], -1)]
+
 
+_VARIANT_FIELDS = [("doc", pa.int64()), ("no", pa.int32()), ("variant", pa.int64()),
+                   ("at", pa.int32())]
+_WORDS_FIELDS = [("doc", pa.int64()), ("no", pa.int32()), ("words", pa.binary())]
 
-_VARIANT_FIELDS = [("line", pa.binary()), ("doc", pa.int64()), ("no", pa.int32()),
-                   ("variant", pa.binary()), ("at", pa.int32())]
+
+def _table(rows: list[tuple], fields: list) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [()] * len(fields)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(column, kind) for column, (_, kind) in zip(columns, fields)],
+        schema=pa.schema(fields))
 
 
 def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Variants of the lines `seeds` of each text; the line itself has place -1."""
+    """Variants of lines."""
     for batch in batches:
         out = []
-        for data, seeds in zip(batch.column("data"), batch.column("seeds").to_pylist()):
-            lines = data.as_py().split(b"\n")
-            for seed in seeds:
-                words = lines[seed["no"]].split()
-                out += [(seed["line"], seed["doc"], seed["no"], variant, at) for variant, at in (
-                    (seed["line"], -1), *variants(words))]
-                if len(out) > 50_000:
-                    yield _table(out)
-                    out = []
-        yield _table(out)
-
-
-def _table(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows)) or [()] * len(_VARIANT_FIELDS)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(column, kind) for column, (_, kind) in zip(columns, _VARIANT_FIELDS)],
-        schema=pa.schema(_VARIANT_FIELDS))
+        for row in batch.to_pylist():
+            out += [(row["doc"], row["no"], *pair) for pair in variants(row["words"].split())]
+            if len(out) > 50_000:
+                yield _table(out, _VARIANT_FIELDS)
+                out = []
+        yield _table(out, _VARIANT_FIELDS)
 
 
 def within_one_word(a: list[bytes], b: list[bytes]) -> bool:
@@ -134,55 +137,45 @@ def _nth_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The words of chosen lines of each text."""
     for batch in batches:
         out = []
-        for data, seeds in zip(batch.column("data"), batch.column("seeds").to_pylist()):
-            lines = data.as_py().split(b"\n")
-            out += [(seed["line"], b" ".join(lines[seed["no"]].split())) for seed in seeds]
-        columns = list(zip(*out)) or [(), ()]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(column, pa.binary()) for column in columns], ["line", "words"])
+        for doc, data, numbers in zip(*[batch.column(name) for name in ("doc", "data", "nos")]):
+            lines, doc = data.as_py().split(b"\n"), doc.as_py()
+            out += [(doc, no, b" ".join(lines[no].split())) for no in numbers.as_py()]
+        yield _table(out, _WORDS_FIELDS)
 
 
-def near_copies(docs: DataFrame, firsts: DataFrame, text_col: str) -> DataFrame:
-    """Digests of lines with an earlier line of other words within one word.
+def near_copies(docs: DataFrame, firsts: DataFrame) -> DataFrame:
+    """Places (doc, no) of lines with an earlier line of other words within one word.
 
-    `docs` has `doc` and the text, `firsts` the earliest place (doc, no) of each line and its
-    halves.
+    `docs` has `doc` and `data`; `firsts` the earliest place of each line, by which it is known
+    from here on, and its halves.
     """
-    half = firsts.select("line", F.explode("halves").alias("half"))
+    half = firsts.select("doc", "no", F.explode("halves").alias("half"))
     shared = half.groupBy("half").agg(F.count("*").alias("n")).filter("n > 1").select("half")
-    wanted = stage(half.join(shared, "half", "left_semi").select("line").distinct().join(
-        firsts.select("line", "doc", "no"), "line"), "seeds")
-    by_doc = wanted.groupBy("doc").agg(F.collect_list(F.struct("line", "doc", "no")).alias("seeds"))
-    texts = docs.select("doc", F.col(text_col).alias("data")).join(by_doc, "doc").select(
-        "data", "seeds")
-    emitted = stage(texts.mapInArrow(
-        _emit, "line binary, doc long, no int, variant binary, at int").dropDuplicates(
-            ["line", "variant", "at"]), "variants")
-
-    place = F.struct("doc", "no", "line")
+    wanted = half.join(shared, "half", "left_semi").groupBy("doc").agg(
+        F.collect_set("no").alias("nos"))
+    words = stage(docs.join(wanted, "doc").select("doc", "data", "nos").mapInArrow(
+        _nth_lines, "doc long, no int, words binary"), "words")
+    emitted = stage(words.mapInArrow(_emit, "doc long, no int, variant long, at int"), "variants")
+
+    place = F.struct("doc", "no")
     exchanged = emitted.filter("at >= 0").groupBy("variant", "at").agg(
-        F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    exchanged = emitted.join(exchanged, ["variant", "at"])
+        F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    met = emitted.join(exchanged.select("variant", "at", "first"), ["variant", "at"])
     whole, less = F.when(F.col("at") < 0, place), F.when(F.col("at") >= 0, place)
     ends = emitted.groupBy("variant").agg(F.min(whole).alias("whole"), F.min(less).alias("less"))
     ends = ends.filter(F.col("whole").isNotNull() & F.col("less").isNotNull())
     missing = emitted.join(ends, "variant").withColumn(
         "first", F.when(F.col("at") < 0, F.col("less")).otherwise(F.col("whole")))
-    met = reduce(DataFrame.unionByName, [
-        rows.filter(F.col("first") < place).select("line", F.col("first.line").alias("earlier"))
-        for rows in (exchanged, missing)]).filter("line != earlier").distinct()
-    met = stage(met, "met")
-
-    # The words of both lines, to verify the distance.
-    sought = met.select("line").unionByName(met.select(F.col("earlier").alias("line"))).distinct()
-    seeds = wanted.join(sought, "line", "left_semi").groupBy("doc").agg(
-        F.collect_list(F.struct("line", "no")).alias("seeds"))
-    words = stage(docs.select("doc", F.col(text_col).alias("data")).join(seeds, "doc").select(
-        "data", "seeds").mapInArrow(_nth_lines, "line binary, words binary").dropDuplicates(
-            ["line"]), "words")
-    both = met.join(words, "line").join(
-        words.select(F.col("line").alias("earlier"), F.col("words").alias("other")), "earlier")
-    return both.filter(_verified(F.col("words"), F.col("other"))).select("line").distinct()
+    met = stage(met.select("doc", "no", "first").unionByName(
+        missing.select("doc", "no", "first")).filter(F.col("first") < place).distinct(), "met")
+
+    # A removal counts after the distance between the words of both lines was verified.
+    words = words.dropDuplicates(["doc", "no"])
+    both = met.select("doc", "no", F.col("first.doc").alias("doc_"), F.col("first.no").alias(
+        "no_")).join(words, ["doc", "no"]).join(words.select(
+            F.col("doc").alias("doc_"), F.col("no").alias("no_"), F.col("words").alias("other")),
+            ["doc_", "no_"])
+    return both.filter(_verified(F.col("words"), F.col("other"))).select("doc", "no").distinct()
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -198,8 +191,9 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     firsts = stage(lines.groupBy("line").agg(
         F.min(F.struct("doc", "no", "halves")).alias("first"), F.count("*").alias("n")).select(
             "line", "first.*", "n"), "firsts")
-    near = near_copies(rows, firsts, "data").withColumn("near", F.lit(True))
-    doubtful = firsts.join(near, "line", "left").filter("n > 1 or near").select(
+    near = near_copies(rows, firsts.filter(F.size("halves") > 0)).withColumn("near", F.lit(True))
+    doubtful = firsts.select("line", "doc", "no", "n").join(near, ["doc", "no"], "left").filter(
+        "n > 1 or near").select(
         "line", place.alias("first"), F.coalesce("near", F.lit(False)).alias("near"))
     gone = lines.select("doc", "no", "line").join(doubtful, "line").filter(
         F.col("near") | (place != F.col("first")))
