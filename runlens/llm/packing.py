@@ -29,10 +29,10 @@ from runlens.session import stage
 
 SEQUENCE = 4096
 END_ID = 2
-#: Pieces of a group on average: packed by one task, some megabytes of memory.
-GROUP_PIECES = 20_000
+#: Pieces of a group on average: packed by one task, some 15 MB with all ids.
+GROUP_PIECES = 4_000
 #: Words a worker remembers with their ids; beyond it, it starts to collect them anew.
-REMEMBERED = 3 << 18
+REMEMBERED = 3 << 17
 #: Letters below this code point are letters to every Unicode version.
 _COMMON = 0x250
 #: Words of one call: the tokenizer's time for a text grows faster than its length.
