@@ -91,15 +91,14 @@ def top_features(weights: DataFrame, k: int = 2, by: str = "boss_archetype") ->
 def score(rows: DataFrame, weights: DataFrame) -> DataFrame:
     """Add `prediction`, `confidence` and the two leading features of the row's archetype.
 
-    An archetype without a model leaves them null: the row then falls back. The weights hold a few
-    rows per fixed archetype, which bounds the broadcast.
+    An archetype without a model leaves them null: the row then falls back.
     """
     names = [row[0] for row in weights.select("feature").distinct().collect()]
     per_model = weights.groupBy("boss_archetype").agg(
         F.map_from_entries(F.collect_list(F.struct("feature", F.struct(
             "weight", "mean", "sd")))).alias("_terms"), F.first("intercept").alias("_intercept"))
     per_model = per_model.join(top_features(weights), "boss_archetype")
-    scored = rows.join(F.broadcast(per_model), "boss_archetype", "left")
+    scored = rows.join(per_model, "boss_archetype", "left")
     margin = F.col("_intercept")
     for name in names:
         term = F.col("_terms")[name]

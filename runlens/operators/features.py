@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runlens import constants as C
+from runlens.functions.payload import usable_archetype
 from runlens.functions.vectors import hp_ratio
 from runlens.operators.runs import ORDER, newest
 from runlens.sources.events import filter_type, guard_triggers, known_events
@@ -71,38 +72,49 @@ def upgrade_counts(events: DataFrame) -> DataFrame:
         F.collect_list(F.struct("chosen_upgrade_id", "n"))).alias("upgrade_counts"))
 
 
+def counts_for_player() -> Column:
+    """Events whose player can be that of the run: the one rule for features, snapshots, messages.
+
+    Every event with a player but a trigger without a usable archetype; the first in the order of
+    (timestamp, event_id) decides. Boss fights are no profile events and do not count.
+    """
+    kind = F.col("event_type")
+    return F.col("player_id").isNotNull() & kind.isin(*C.PROFILE_EVENTS) & (
+        ~kind.isin(*C.TRIGGER_EVENTS) | usable_archetype(F.col("boss_archetype")))
+
+
 def run_player(events: DataFrame) -> DataFrame:
-    """Player of the first event of each run.
+    """First known player of each run, by `counts_for_player`.
 
-    Firsts per (run, player) come first: those buffers are plain numbers, so the large step stays
-    a hash aggregate.
+    The first timestamp per (run, player) comes first: its buffer is a plain number, so the large
+    step stays a hash aggregate. Only players that share a run's first moment need event ids.
     """
-    firsts = events.groupBy("run_id", "player_id").agg(F.min("timestamp").alias("since"))
-    return firsts.groupBy("run_id").agg(
-        F.min_by("player_id", F.struct("since", "player_id")).alias("player_id"))
+    named = events.filter(counts_for_player())
+    firsts = named.groupBy("run_id", "player_id", "timestamp").agg(
+        F.min("event_id").alias("event_id"))
+    firsts = firsts.groupBy("run_id").agg(F.min_by(
+        "player_id", F.struct(*ORDER)).alias("player_id"))
+    return events.select("run_id").distinct().join(firsts, "run_id", "left")
 
 
 def feature_vectors(events: DataFrame, last_n: int = C.HP_HISTORY) -> DataFrame:
     """Feature vector of each run after its last event.
 
-    One pass sums everything by (run, player, upgrade); the small second step folds these rows
-    into runs, totals and the upgrade map alike.
+    One pass sums everything by (run, upgrade); the small second step folds these rows into runs,
+    totals and the upgrade map alike.
     """
     events = guard_triggers(known_events(events))
     added = contributions()
     upgrade = F.when(F.col("event_type") == C.UPGRADE, F.col("chosen_upgrade_id"))
-    parts = events.withColumn("upgrade", upgrade).groupBy("run_id", "player_id", "upgrade").agg(
-        F.min("timestamp").alias("since"), F.count("*").cast("int").alias("n"),
+    parts = events.withColumn("upgrade", upgrade).groupBy("run_id", "upgrade").agg(
+        F.count("*").cast("int").alias("n"),
         *[F.sum(column).alias(name) for name, column in added.items()])
-    per_upgrade = parts.groupBy("run_id", "upgrade").agg(
-        F.min(F.struct("since", "player_id")).alias("first"), F.sum("n").cast("int").alias("n"),
-        *[F.sum(name).alias(name) for name in added])
     entry = F.when(F.col("upgrade").isNotNull(), F.struct("upgrade", "n"))
-    runs = per_upgrade.groupBy("run_id").agg(
-        F.min("first")["player_id"].alias("player_id"),
+    runs = parts.groupBy("run_id").agg(
         *[F.sum(name).alias(name) for name in added],
         counts_map(F.collect_list(entry)).alias("upgrade_counts"))
-    return runs.join(avg_hp(events, last_n), "run_id", "left").select(
+    return runs.join(run_player(events), "run_id", "left").join(
+        avg_hp(events, last_n), "run_id", "left").select(
         "run_id", "player_id", *added,
         F.coalesce("avg_hp_percent", F.lit(1.0)).alias("avg_hp_percent"), "upgrade_counts")
 

@@ -20,8 +20,6 @@ from runlens.session import stage
 
 MAX_ROWS_CONF = "spark.runlens.maxRowsPerRun"
 MAX_ROWS = 2_000_000
-# The list of large keys never grows beyond this.
-MAX_LARGE_KEYS = 100_000
 
 ORDER = ("timestamp", "event_id")
 _TOTALS, _TAIL, _OWN = 0, 1, 2
@@ -143,21 +141,16 @@ def large_keys(rows: DataFrame, by: tuple[str, ...] = ("run_id",),
                ) -> tuple[DataFrame, int] | None:
     """Keys with more rows than one task should take, and the number of chunks they need.
 
-    One pass: a partial count per key, of which only large keys reach the driver. Should they be
-    too many to list, the limit rises to a size that at most that many keys can exceed.
+    One pass: a partial count per key. Large keys stay a table; only the sum of their rows reaches
+    the driver, and adaptive execution broadcasts them where their measured size is small.
     """
     limit = max_rows_per_run(rows)
     counts = rows.groupBy(*by).count()
-    large = counts.filter(F.col("count") > limit).limit(MAX_LARGE_KEYS + 1).collect()
-    if len(large) > MAX_LARGE_KEYS:
-        limit = max(limit, rows.count() // MAX_LARGE_KEYS)
-        large = counts.filter(F.col("count") > limit).collect()
-    if not large:
+    large = stage(counts.filter(F.col("count") > limit), "large")
+    total = large.agg(F.sum("count")).first()[0]
+    if total is None:
         return None
-    chunks = 1 + sum(row["count"] for row in large) // max(1, limit // 2)
-    keys = rows.sparkSession.createDataFrame(
-        [tuple(row[name] for name in by) for row in large], rows.select(*by).schema)
-    return F.broadcast(keys), chunks
+    return large.select(*by), 1 + total // max(1, limit // 2)
 
 
 def by_run(

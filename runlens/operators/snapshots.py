@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from runlens import constants as C
 from runlens.functions.payload import encounter_or_new
 from runlens.functions.vectors import hp_ratio
-from runlens.operators.features import contributions, counts_map
+from runlens.operators.features import contributions, counts_for_player, counts_map
 from runlens.operators.runs import ORDER, RunFrame, by_run, large_keys, union_all
-from runlens.sources.events import filter_type, guard_triggers, known_events, with_archetype
+from runlens.sources.events import (
+    delivered_once, filter_type, guard_triggers, known_events, with_archetype,
+)
 
 TOTALS = ("total_dashes", "total_damage_dealt", "total_damage_taken", "damage_taken_from_elites")
 FIGHT_COLUMNS = ("run_id", *ORDER, "event_type", "boss_archetype", "win")
@@ -20,11 +22,17 @@ def is_trigger() -> Column:
     return F.col("event_type").isin(*C.TRIGGER_EVENTS)
 
 
+def is_late() -> Column:
+    """1 for boss fights: they come after all snapshots of the same time."""
+    return F.when(F.col("event_type") == C.BOSS_DONE, 1).otherwise(0)
+
+
 def _profile_rows(events: DataFrame, *extra: str) -> DataFrame:
     """Events as additions to the profile of their run."""
     ratio = F.when(F.col("event_type") == C.STATUS, hp_ratio(F.col("hp"), F.col("max_hp")))
     return events.select(
-        "run_id", *ORDER, "player_id", "event_type", "boss_archetype", "encounter_id", *extra,
+        "run_id", *ORDER, F.when(counts_for_player(), F.col("player_id")).alias("player_id"),
+        "event_type", "boss_archetype", "encounter_id", *extra,
         *[column.alias(name) for name, column in contributions().items()],
         ratio.alias("hp_ratio"), ratio.isNotNull().alias("is_reading"))
 
@@ -79,7 +87,9 @@ def running_upgrades(events: DataFrame, checked: bool = False) -> DataFrame:
     choices = filter_type(events, C.UPGRADE).select(
         "run_id", *ORDER, "chosen_upgrade_id", F.lit(1).alias("n"))
     offered = choices.groupBy("run_id").agg(F.collect_set("chosen_upgrade_id").alias("ids"))
-    marks = filter_type(events, *C.TRIGGER_EVENTS).join(offered, "run_id").select(
+    # A trigger that was delivered twice is marked once.
+    marks = delivered_once(filter_type(events, *C.TRIGGER_EVENTS).select("run_id", *ORDER)).join(
+        offered, "run_id").select(
         "run_id", *ORDER, F.explode("ids").alias("chosen_upgrade_id"), F.lit(0).alias("n"))
 
     def work(frame: RunFrame) -> DataFrame:
@@ -115,17 +125,18 @@ def fights(events: DataFrame) -> DataFrame:
 def asof_features(outcomes: DataFrame, taken: DataFrame) -> DataFrame:
     """Fights with the newest snapshot of their run taken at or before them.
 
-    Both sides become one ordered stream per run, so no pair of rows is ever compared. Fights
+    Both sides become one ordered stream per run, so no pair of rows is ever compared. At equal
+    times an elite fight has its own snapshot, a boss fight that of the largest event id. Fights
     without an earlier snapshot are left out.
     """
     fields = [name for name in taken.columns if name not in ("run_id", "timestamp")]
     shots = taken.select(
-        "run_id", "timestamp", F.lit(0).alias("is_fight"), "event_id",
+        "run_id", "timestamp", F.lit(0).alias("late"), F.lit(0).alias("is_fight"), "event_id",
         F.struct(*fields).alias("snapshot"))
-    order_by = ("timestamp", "is_fight", "event_id")
+    order_by = ("timestamp", "late", "event_id", "is_fight")
     fight_fields = [name for name in outcomes.columns if name not in ("run_id", *ORDER)]
-    sought = outcomes.select("run_id", "timestamp", F.lit(1).alias("is_fight"), "event_id",
-                             *fight_fields)
+    sought = outcomes.select("run_id", "timestamp", is_late().alias("late"),
+                             F.lit(1).alias("is_fight"), "event_id", *fight_fields)
 
     clashes = {*fight_fields, "event_id"}
 
@@ -166,7 +177,7 @@ def fights_with_features(events: DataFrame, last_n: int = C.HP_HISTORY,
     def work(frame: RunFrame) -> DataFrame:
         frame = _with_profile(frame, last_n)
         rows = frame.df.select(*frame.keys, *[name for name in ("lead_in",) if frame.split],
-                               *ORDER, "event_type", "boss_archetype", "win",
+                               *frame.order_by, "event_type", "boss_archetype", "win",
                                F.when(is_trigger(), snapshot).alias("snapshot"))
         frame = frame.on(rows).settled().with_totals(lasts=("snapshot",))
         newest = F.last("snapshot", ignorenulls=True).over(frame.running())
@@ -174,7 +185,7 @@ def fights_with_features(events: DataFrame, last_n: int = C.HP_HISTORY,
         return with_archetype(filter_type(found, *C.FIGHT_EVENTS)).filter(
             "snapshot is not null").select(*FIGHT_COLUMNS, "snapshot.*")
 
-    rows = _profile_rows(events, "win")
+    rows = _profile_rows(events, "win").withColumn("late", is_late())
     small = large_keys(rows) is None
-    found = by_run(rows, work, checked=small)
+    found = by_run(rows, work, order_by=("timestamp", "late", "event_id"), checked=small)
     return with_upgrades(found, events, "snapshot_id", small) if upgrades else found

@@ -107,16 +107,13 @@ def scaling(records: DataFrame, columns: Sequence[str], by: str) -> DataFrame:
 
 
 def standardise(records: DataFrame, columns: Sequence[str] = NUMERIC_FEATURES,
-                by: str = "boss_archetype", max_groups: int = 10_000) -> DataFrame:
+                by: str = "boss_archetype") -> DataFrame:
     """Z-scores of `columns` within each group.
 
-    A window over a few archetypes would put each into one task. The figures per group are few;
-    they are broadcast once their number is known to be small, and joined by key otherwise.
+    A window over a few archetypes would put each into one task. The figures per group are joined
+    by key; adaptive execution broadcasts them where their measured size is small.
     """
     figures = scaling(records, columns, by)
-    rows = figures.limit(max_groups + 1).collect()
-    if len(rows) <= max_groups:
-        figures = F.broadcast(records.sparkSession.createDataFrame(rows, figures.schema))
     scores = {name: F.coalesce(F.try_divide(
         F.col(name) - F.col(f"_{name}.mean"), F.col(f"_{name}.sd")), F.lit(0.0))
         for name in columns}

@@ -60,6 +60,10 @@ e AS (
 G = gameplay()
 G_LONG = gameplay("user_id % 4")
 
+_FIRST_PLAYER = f"""first(player_id ORDER BY timestamp, event_id) FILTER (
+  player_id IS NOT NULL AND event_type <> 'boss_fight_completed'
+  AND (NOT ({_TRIGGER}) OR coalesce(arch, 'none') <> 'none'))"""
+
 _CONTRIBUTIONS = """
   CASE WHEN event_type = 'player_dash_event' THEN 1 ELSE 0 END AS dash,
   CASE WHEN event_type = 'player_damage_dealt_event' THEN dmg ELSE 0 END AS dealt,
@@ -74,7 +78,8 @@ def snapshots(base: str) -> str:
 p AS (SELECT *, {_CONTRIBUTIONS} FROM e),
 running AS (
   SELECT event_id, run_id, timestamp, event_type, arch, enc,
-    first_value(player_id) OVER w AS player_id,
+    first_value(CASE WHEN event_type <> 'boss_fight_completed' THEN player_id END IGNORE NULLS)
+      OVER w AS player_id,
     (sum(dash) OVER w)::BIGINT AS total_dashes, sum(dealt) OVER w AS total_damage_dealt,
     sum(taken) OVER w AS total_damage_taken, sum(elite) OVER w AS damage_taken_from_elites,
     list(ratio) FILTER (ratio IS NOT NULL) OVER w AS ratios
@@ -479,10 +484,10 @@ SELECT run_id, round(coalesce(sum(dmg) FILTER (event_type = 'damage_taken_event'
             FINAL.replace(G, G_LONG), "SELECT run_id, round(avg_hp, 9) AS avg_hp_percent FROM hp"),
         "upgrade_maps": _with(FINAL, "SELECT run_id, counts AS upgrade_counts FROM maps"),
         "run_players": _with(
-            g, "SELECT run_id, arg_min(player_id, timestamp) AS player_id FROM g GROUP BY run_id"),
+            g, f"SELECT run_id, {_FIRST_PLAYER} AS player_id FROM g GROUP BY run_id"),
         "run_players_long_runs": _with(
             G_LONG,
-            "SELECT run_id, arg_min(player_id, timestamp) AS player_id FROM g GROUP BY run_id"),
+            f"SELECT run_id, {_FIRST_PLAYER} AS player_id FROM g GROUP BY run_id"),
         "run_features": _with(
             FINAL, f"SELECT run_id, player_id, {_FEATURES}, upgrade_counts FROM vectors"),
         "archetypes_seen": _with(fights, "SELECT DISTINCT arch AS boss_archetype FROM f"),
@@ -526,7 +531,7 @@ gaps AS ({' UNION ALL '.join(
             " GROUP BY boss_archetype" for name in _FIELDS)}),
 ranked AS (SELECT *, row_number() OVER (
   PARTITION BY boss_archetype ORDER BY abs(weight) DESC, feature) AS slot
-  FROM gaps WHERE boss_archetype <> 'final' OR feature = 'total_dashes')""", """
+  FROM gaps)""", """
 SELECT boss_archetype, coalesce(max(feature) FILTER (slot = 1), 'default') AS feature_1,
   coalesce(max(feature) FILTER (slot = 2), 'default') AS feature_2
 FROM ranked GROUP BY boss_archetype"""),

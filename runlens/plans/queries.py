@@ -462,10 +462,7 @@ def outcome_gaps(records: DataFrame) -> DataFrame:
 
 @on_events
 def leading_features(events):
-    gaps = outcome_gaps(R.training_records(events))
-    strong = gaps.filter((F.col("boss_archetype") != "final") | (
-        F.col("feature") == "total_dashes"))
-    return M.top_features(strong)
+    return M.top_features(outcome_gaps(R.training_records(events)))
 
 
 @on_events
@@ -670,8 +667,8 @@ def clean_comments(spark, sf_dir):
 def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All outputs of the stateful profile run over the whole table as a stream, to its end."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(
-        sf_dir)
+    # A glob matches the table as a file and as a folder of part files.
+    source = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
     events = X.guard_triggers(gameplay_events(spark, sf_dir, source=source))
     rules = P.Rules(kill_history=4, kill_min=2, stale_ms=STALE_MS, grace_ms=STALE_MS)
     path = _folder(spark, "profile")

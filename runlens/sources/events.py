@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,11 +28,25 @@ def read_events(spark: SparkSession, fmt: str = "kafka", streaming: bool = True,
         reader = reader.schema(schema)
     if fmt == "kafka":
         return reader.load().select(
-            F.col("value").cast("string"), F.col("offset").alias("event_id"),
-            F.col("timestamp").alias("record_time"))
+            F.col("value").cast("string"), record_id(F.col("partition"), F.col("offset")).alias(
+                "event_id"), F.col("timestamp").alias("record_time"))
     return reader.load(path)
 
 
+def record_id(partition: Column, offset: Column) -> Column:
+    """Id of a topic record: offsets repeat across partitions, which take the top 15 bits."""
+    return F.shiftleft(partition.cast("long"), 48) + offset
+
+
+def delivered_once(events: DataFrame) -> DataFrame:
+    """Events without those delivered again: topics deliver at least once.
+
+    Records with equal run, time and event id are one event. A stream needs the state of a
+    watermark for the same (`dropDuplicatesWithinWatermark`).
+    """
+    return events.dropDuplicates(["run_id", "timestamp", "event_id"])
+
+
 def _parse(records: DataFrame, column: str, schema: T.StructType, keep: tuple[str, ...],
            **options: str) -> DataFrame:
     """JSON text in `column` as columns of `schema`, beside the columns `keep`.

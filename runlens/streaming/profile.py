@@ -162,9 +162,9 @@ class RunProfile(StatefulProcessor):
     # --- events ---
 
     def _apply(self, run_id: str, p: Profile, e: Row, now: int) -> Iterator[Row]:
-        if p.player_id is None:
-            p.player_id = e.player_id
         kind = e.event_type
+        if p.player_id is None and kind in C.PROFILE_EVENTS:
+            p.player_id = e.player_id
         if kind == C.MOVEMENT:
             p.vx, p.vy = e.x, e.y
         elif kind == C.DASH:

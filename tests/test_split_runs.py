@@ -13,6 +13,9 @@ WORK = {
     "snapshots": lambda e: S.snapshots(e, last_n=3),
     "asof": lambda e: S.asof_features(S.fights(e), S.snapshots(e, upgrades=False)),
     "fights": S.fights_with_features,
+    "velocities": A.carry_velocity,
+    "alignments": lambda e: A.kill_alignment(e, last_n=4),
+    "upgrades": S.running_upgrades,
     "forms": lambda e: A.brute_forms(e, last_n=4, min_n=2),
     "changes": lambda e: A.form_changes(e, last_n=4, min_n=2),
     "stale": lambda e: A.stale_forms(e, 1_706_800_000_000, STALE_MS, STALE_MS, 4, 2),
@@ -45,3 +48,9 @@ def test_all_runs_split(skewed, run_limit, name):
     whole = rows(WORK[name](skewed))
     run_limit(9)
     assert rows(WORK[name](skewed)) == whole
+
+
+def test_many_large_runs_stay_a_table(skewed, run_limit):
+    run_limit(1)
+    keys, chunks = S.large_keys(skewed.select("run_id"))
+    assert keys.count() == skewed.select("run_id").distinct().count() and chunks > 1
