@@ -219,13 +219,17 @@ def _strings(length: int, gram: int):
 
 
 def _counted_offsets(contexts: DataFrame, length: int, gram: int) -> DataFrame:
-    """The exact way for grams with too many contexts to sort: count strings by digest."""
+    """The exact way for grams with too many contexts to sort: count strings by digest.
+
+    Contexts of neighbouring anchors overlap, so a string counts with its offset to the anchor: one
+    place holds a gram at one offset only once.
+    """
     distinct = contexts.groupBy("gram", "context").agg(
         F.first("before").alias("before"), F.first("after").alias("after"), F.sum("n").alias("n"))
     strings = stage(distinct.mapInArrow(
         _strings(length, gram), "digest binary, context binary, d int, n long"), "strings")
-    twice = strings.groupBy("digest").agg(F.sum("n").alias("times")).filter("times > 1")
-    return strings.join(twice, "digest", "left_semi").groupBy("context").agg(
+    twice = strings.groupBy("digest", "d").agg(F.sum("n").alias("times")).filter("times > 1")
+    return strings.join(twice, ["digest", "d"], "left_semi").groupBy("context").agg(
         F.min("d").alias("least"), F.max("d").alias("greatest"))
 
 
