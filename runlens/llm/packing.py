@@ -90,7 +90,9 @@ class Words(dict):
                 self.update(zip([text.encode() for text in some], runs))
 
     def encode(self, data: bytes) -> np.ndarray:
-        if b"<|" not in data:  # special tokens are matched before letters are lower-cased
+        # Special tokens are matched, and combining marks (0xCC leads their bytes) put together
+        # with their letters, before letters are lower-cased.
+        if b"<|" not in data and b"\xcc" not in data:
             data = data.lower()
         words = data.split()
         self.learn({word for word in words if word not in self})

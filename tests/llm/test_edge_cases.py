@@ -7,6 +7,7 @@ import hashlib
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from runlens.llm import (bpe, classifier, compression_rules, line_dedup, packing, sharding,
@@ -169,6 +170,15 @@ def test_packing(odd, empty):
     assert packing.pack(empty, WORDS).count() == 0
 
 
+@pytest.mark.parametrize("text", [
+    "J\u030c T\u0308 H\u0331llo Y\u030a", "Ab <|endoftext|> Zed", "It's 10:30, KELVIN \u212a.",
+    "\u0130stanbul caf\u00c9 CAFE\u0301 \u037e x", "tab\tnew\x0bline\x1cfs nbsp\u00a0end"])
+def test_ids_of_words_are_those_of_the_text(text):
+    library = Tokenizer.from_file(WORDS)
+    found = packing.Words(WORDS).encode(text.encode())
+    assert found[:-1].tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_pipeline_takes_odd_and_empty_tables(spark, odd, empty):
     folder = "/root/testdata/sf0.001"
     for docs in (odd, empty):
