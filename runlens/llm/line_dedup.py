@@ -45,14 +45,13 @@ def _signed(value: int) -> int:
 def halves(words: list[bytes]) -> list[int]:
     """Keys of a line's first and last words up to the middle of the shorter line of a pair.
 
-    The line may be the shorter one of a pair, or longer by a word; the shorter length is part of
-    the key.
+    The line may be the shorter one of a pair, or longer by a word: two sizes of halves when it
+    has an even number of words, one otherwise.
     """
     n, found = len(words), []
-    for shorter in (n, n - 1):
-        size = shorter // 2
+    for size in {n // 2, (n - 1) // 2}:
         for side, half in ((0, words[:size]), (1, words[n - size:])):
-            found.append(_signed(xxhash.xxh3_64_intdigest(b" ".join(half), 2 * shorter + side)))
+            found.append(_signed(xxhash.xxh3_64_intdigest(b" ".join(half), side)))
     return found
 
 
