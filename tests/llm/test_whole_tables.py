@@ -62,7 +62,8 @@ def least_reachable(ids: list, linked) -> dict:
     return {i: root(i) for i in ids}
 
 
-def test_simhash(spark, texts):
+def components(texts: dict) -> tuple[dict, dict]:
+    """Fingerprint and smallest reachable id of each document."""
     prints = {i: simhash(text) for i, text in texts.items()}
     ids = sorted(prints)
     values = np.array([prints[i] for i in ids], np.uint64)
@@ -70,7 +71,11 @@ def test_simhash(spark, texts):
     for at, value in enumerate(values):
         near = np.flatnonzero(np.bitwise_count(values[:at] ^ value) <= 2)
         pairs += [(ids[at], ids[j]) for j in near]
-    wanted = least_reachable(ids, pairs)
+    return prints, least_reachable(ids, pairs)
+
+
+def test_simhash(spark, texts):
+    prints, wanted = components(texts)
     rows = answer(spark, "op1_simhash")
     assert {row.doc_id: row.fingerprint for row in rows} == {
         i: f"{x:016x}" for i, x in prints.items()}
@@ -78,14 +83,13 @@ def test_simhash(spark, texts):
     assert len(rows) == len(texts) and any(k != v for k, v in wanted.items())
 
 
-def test_suffix_dedup(spark, texts):
-    length, seen = 400, Counter()
+def without_repeats(texts: dict, length: int = 400) -> dict:
+    """Kept bytes, number of removed bytes and number of their runs of each text."""
+    seen, found = Counter(), {}
     data = {i: text.encode() for i, text in texts.items()}
     for text in data.values():
         seen.update(xxhash.xxh3_128_digest(text[p:p + length])
                     for p in range(len(text) - length + 1))
-    found = {row.doc_id: row for row in answer(spark, "op2_suffix_dedup")}
-    assert len(found) == len(texts)
     for i, text in data.items():
         edge = np.zeros(len(text) + 1, int)
         for p in range(len(text) - length + 1):
@@ -93,11 +97,18 @@ def test_suffix_dedup(spark, texts):
                 edge[p] += 1
                 edge[p + length] -= 1
         gone = np.cumsum(edge)[:-1] > 0
-        kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
         runs = int(np.count_nonzero(np.diff(np.concatenate([[0], gone.astype(int)])) == 1))
+        found[i] = np.frombuffer(text, np.uint8)[~gone].tobytes(), int(gone.sum()), runs
+    return found
+
+
+def test_suffix_dedup(spark, texts):
+    found = {row.doc_id: row for row in answer(spark, "op2_suffix_dedup")}
+    assert len(found) == len(texts)
+    for i, (kept, gone, runs) in without_repeats(texts).items():
         row = found[i]
         assert (row.n_bytes, row.n_removed, row.n_spans, row.kept_sha256) == (
-            len(text), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest()), i
+            len(texts[i].encode()), gone, runs, hashlib.sha256(kept).hexdigest()), i
 
 
 def test_compression_rules(spark, texts):
@@ -180,10 +191,10 @@ def test_byte_bpe(spark, texts):
         assert row.decoded_sha256 == hashlib.sha256(texts[row.doc_id].encode()).hexdigest()
 
 
-def test_line_dedup(spark, texts):
+def without_lines(texts: dict) -> dict:
+    """Kept lines of each text, taken line by line in order of ids."""
     earlier: list[list[bytes]] = []
-    by_words, by_variant = {}, defaultdict(list)
-    found = {row.doc_id: row for row in answer(spark, "op8_line_dedup")}
+    by_words, by_variant, found = {}, defaultdict(list), {}
     for i in sorted(texts):
         kept = []
         for line in texts[i].split("\n"):
@@ -205,6 +216,13 @@ def test_line_dedup(spark, texts):
                         earlier.append(words)
             if not gone:
                 kept.append(line)
+        found[i] = kept
+    return found
+
+
+def test_line_dedup(spark, texts):
+    found = {row.doc_id: row for row in answer(spark, "op8_line_dedup")}
+    for i, kept in without_lines(texts).items():
         row = found[i]
         assert row.n_lines == len(texts[i].split("\n"))
         assert row.n_removed == row.n_lines - len(kept), i
