@@ -36,6 +36,8 @@ KILL_MIN = 5
 JUGGERNAUT_BELOW = -0.2
 SKIRMISHER_ABOVE = 0.6
 PREDICTION_TICK_MS = 2000
+#: A run without events for a day has ended.
+IDLE_MS = 86_400_000
 STALE_MS = 5000
 GRACE_MS = 5000
 

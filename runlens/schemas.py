@@ -23,6 +23,12 @@ TRIGGER_MESSAGE = T.StructType([
     T.StructField("reply", T.StringType()),
 ])
 
+WAITING_FIGHT = T.StructType([
+    *[T.StructField(name, T.StringType()) for name in ("run_id", "boss_archetype", "event_type",
+                                                       "encounter_id")],
+    T.StructField("win", T.BooleanType()), T.StructField("tries", T.IntegerType()),
+])
+
 SESSION_EVENT = T.StructType([T.StructField("event_type", T.StringType())])
 
 

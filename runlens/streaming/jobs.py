@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -16,7 +16,7 @@ from runlens.sinks import tables
 from runlens.sinks.topics import to_messages, write_topic
 from runlens.sources.events import decode_events, filter_type
 from runlens.sources.tables import read_lake
-from runlens.schemas import SESSION_EVENT, TRIGGER_MESSAGE
+from runlens.schemas import NUMERIC_FEATURES, SESSION_EVENT, TRIGGER_MESSAGE, WAITING_FIGHT
 from runlens.streaming import profile as P
 
 _QUERY_ID = "sql.streaming.queryId"
@@ -39,8 +39,9 @@ def start_batches(stream: DataFrame, work: Callable[[DataFrame, str], None], che
     return writer.option("checkpointLocation", checkpoint).start()
 
 
-def start_profile(events: DataFrame, cache: str, checkpoint: str, rules: P.Rules = P.Rules(),
-                  event_time: bool = False, delay: str = "10 seconds", ttl_ms: int | None = None,
+def start_profile(events: DataFrame, cache: str, checkpoint: str,
+                  rules: P.Rules = P.Rules(idle_ms=C.IDLE_MS), event_time: bool = False,
+                  delay: str = "10 seconds",
                   topic_format: str = "kafka", topic_options: dict[str, str] | None = None,
                   **trigger) -> StreamingQuery:
     """Profile all runs; store snapshots, then send triggers, forms and predictions.
@@ -64,36 +65,81 @@ def start_profile(events: DataFrame, cache: str, checkpoint: str, rules: P.Rules
         finally:
             output.unpersist()
 
-    output = P.profile_stream(events, rules, event_time, delay, ttl_ms)
+    output = P.profile_stream(events, rules, event_time, delay)
     return start_batches(output, work, checkpoint, **trigger)
 
 
+def waiting_fights(spark: SparkSession, unmatched: str, batch: str) -> DataFrame:
+    """Fights that the micro-batch before `batch` left without features."""
+    query, number = batch.rsplit("-", 1)
+    if int(number) == 0:
+        return spark.createDataFrame([], WAITING_FIGHT)
+    return read_lake(spark, f"{unmatched}/waiting/{query}/{(int(number) - 1) % 2}", WAITING_FIGHT)
+
+
+def keep_unmatched(fights: DataFrame, unmatched: str, batch: str, max_tries: int) -> None:
+    """Store fights without features for the next micro-batch, after `max_tries` for good.
+
+    Two folders take turns, so a batch that is tried again still finds what it read, and replaces
+    what it wrote.
+    """
+    query, number = batch.rsplit("-", 1)
+    fights.filter(F.col("tries") < max_tries).write.mode("overwrite").json(
+        f"{unmatched}/waiting/{query}/{int(number) % 2}")
+    fights.filter(F.col("tries") >= max_tries).write.mode("overwrite").json(
+        f"{unmatched}/given_up/batch={batch}")
+
+
 def start_enrichment(fights: DataFrame, cache: str, lake: str, training: str, checkpoint: str,
-                     dry_run: bool = False, **trigger) -> StreamingQuery:
+                     dry_run: bool = False, unmatched: str | None = None, max_tries: int = 10,
+                     **trigger) -> StreamingQuery:
     """Join fights with cached features; append training rows and, for bosses, lake records.
 
     The enriched frame is kept for the two writes. Both are named by the batch, so a batch that is
-    tried again replaces its own output.
+    tried again replaces its own output. With a folder `unmatched`, fights whose run has no cached
+    features yet are tried again in the next micro-batches, and after `max_tries` are kept there
+    under `given_up`; without it they are left out.
     """
 
     def work(outcomes: DataFrame, batch: str) -> None:
-        features = tables.read_features(outcomes.sparkSession, cache, outcomes)
-        records = R.enriched_view(R.enrich(outcomes, features))
-        if dry_run:
-            records.show(truncate=False)
-            return
-        records.persist()
+        spark = outcomes.sparkSession
+        if unmatched:
+            outcomes = outcomes.withColumn("tries", F.lit(0)).unionByName(
+                waiting_fights(spark, unmatched, batch))
+        outcomes.persist()
+        features = tables.read_features(spark, cache, outcomes).persist()
+        records = R.enriched_view(R.enrich(outcomes.drop("tries"), features)).persist()
         try:
+            if dry_run:
+                records.show(truncate=False)
+                return
             tables.append_training(R.oversampled_fights(records), training, batch)
             bosses = R.split_type(records)[1]
             if not bosses.isEmpty():
                 tables.append_lake(bosses, lake, batch)
+            if unmatched:
+                left = outcomes.join(features, "run_id", "left_anti")
+                keep_unmatched(left.withColumn("tries", F.col("tries") + 1).select(
+                    *WAITING_FIGHT.fieldNames()), unmatched, batch, max_tries)
         finally:
-            records.unpersist()
+            for frame in (records, features, outcomes):
+                frame.unpersist()
 
     return start_batches(fights, work, checkpoint, **trigger)
 
 
+def run_training(spark: SparkSession, training: str, weights: str) -> DataFrame:
+    """Train on the stored tables and replace the weights that `start_offers` reads.
+
+    Weights are a folder per archetype: one without training rows keeps its former model.
+    """
+    tables.ensure_tables(spark, training)
+    learned = M.train(tables.read_training(spark, training), features=NUMERIC_FEATURES)
+    learned.coalesce(1).write.option("partitionOverwriteMode", "dynamic").partitionBy(
+        "boss_archetype").mode("overwrite").parquet(weights)
+    return learned
+
+
 def start_offers(records: DataFrame, cache: str, weights: str, checkpoint: str,
                  topic_format: str = "kafka", topic_options: dict[str, str] | None = None,
                  **trigger) -> StreamingQuery:
@@ -117,7 +163,7 @@ def start_offers(records: DataFrame, cache: str, weights: str, checkpoint: str,
     return start_batches(triggers, work, checkpoint, **trigger)
 
 
-def run_bootstrap(spark, lake: str, training: str, dry_run: bool = False) -> DataFrame:
+def run_bootstrap(spark: SparkSession, lake: str, training: str, dry_run: bool = False) -> DataFrame:
     """Seed the lake once, then rebuild the training tables from all its records."""
     if not dry_run:
         tables.seed_if_absent(spark, lake)

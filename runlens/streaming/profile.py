@@ -64,6 +64,7 @@ class Profile:
     tick_at: int = 0
     stale_at: int = 0
     ignore_until: int = 0
+    end_at: int = 0
 
 
 _TEXT, _LONG, _DOUBLE = T.StringType(), T.LongType(), T.DoubleType()
@@ -77,6 +78,7 @@ STATE = T.StructType([
     T.StructField("prediction", _TEXT), T.StructField("form", _TEXT),
     T.StructField("first_dash", _LONG), T.StructField("tick_at", _LONG),
     T.StructField("stale_at", _LONG), T.StructField("ignore_until", _LONG),
+    T.StructField("end_at", _LONG),
 ])
 
 
@@ -91,6 +93,7 @@ class Rules:
     tick_ms: int = C.PREDICTION_TICK_MS
     stale_ms: int = C.STALE_MS
     grace_ms: int = C.GRACE_MS
+    idle_ms: int | None = None
 
 
 class RunProfile(StatefulProcessor):
@@ -98,15 +101,16 @@ class RunProfile(StatefulProcessor):
 
     In event time the clock of an event is its timestamp: timers due before it fire first, so the
     output does not depend on how events fall into micro-batches. In processing time it is the
-    clock of the machine.
+    clock of the machine. A run without events for `idle_ms` ends: its state and timers go, and a
+    later event begins it anew.
     """
 
-    def __init__(self, rules: Rules, event_time: bool, ttl_ms: int | None) -> None:
-        self.rules, self.event_time, self.ttl_ms = rules, event_time, ttl_ms
+    def __init__(self, rules: Rules, event_time: bool) -> None:
+        self.rules, self.event_time = rules, event_time
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("profile", STATE, self.ttl_ms)
+        self.state = handle.getValueState("profile", STATE)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         profile, armed = self._load()
@@ -114,16 +118,28 @@ class RunProfile(StatefulProcessor):
             now = event.timestamp if self.event_time else (
                 timerValues.getCurrentProcessingTimeInMs())
             yield from self._due(key[0], profile, now, inclusive=False)
+            if profile.end_at and profile.end_at <= now:
+                profile = Profile()
             yield from self._apply(key[0], profile, event, now)
+            if self.rules.idle_ms:
+                profile.end_at = now + self.rules.idle_ms
         self._store(profile, armed)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        if not self.state.exists():
+            return
         profile, armed = self._load()
         now = expiredTimerInfo.getExpiryTimeInMs()
         if self.event_time:
             now = max(now, timerValues.getCurrentWatermarkInMs())
         yield from self._due(key[0], profile, now, inclusive=True)
-        self._store(profile, armed - {expiredTimerInfo.getExpiryTimeInMs()})
+        armed -= {expiredTimerInfo.getExpiryTimeInMs()}
+        if profile.end_at and profile.end_at <= now:
+            self.state.clear()
+            for moment in armed:
+                self.handle.deleteTimer(moment)
+        else:
+            self._store(profile, armed)
 
     # --- state and timers ---
 
@@ -135,18 +151,27 @@ class RunProfile(StatefulProcessor):
         profile = Profile(**dict(zip(names, values)))
         profile.hp, profile.cosines = list(profile.hp), list(profile.cosines)
         profile.dashes, profile.upgrades = list(profile.dashes), dict(profile.upgrades)
-        return profile, {profile.tick_at, profile.stale_at} - {0}
+        return profile, self._wanted(profile)
+
+    @staticmethod
+    def _wanted(profile: Profile) -> set[int]:
+        return {profile.tick_at, profile.stale_at, profile.end_at} - {0}
 
     def _store(self, profile: Profile, armed: set[int]) -> None:
         self.state.update(tuple(asdict(profile)[name] for name in STATE.fieldNames()))
-        wanted = {profile.tick_at, profile.stale_at} - {0}
+        wanted = self._wanted(profile)
         for moment in armed - wanted:
             self.handle.deleteTimer(moment)
         for moment in wanted - armed:
             self.handle.registerTimer(moment)
 
     def _due(self, run_id: str, p: Profile, now: int, inclusive: bool) -> Iterator[Row]:
-        """Timers due at `now`. A dash at the moment of a tick still counts for that tick."""
+        """Timers due at `now`. A dash at the moment of a tick still counts for that tick.
+
+        Nothing is due after the end of the run.
+        """
+        if p.end_at and p.end_at <= now:
+            now, inclusive = p.end_at, True
         if p.tick_at and (p.tick_at < now or inclusive and p.tick_at == now):
             at, p.tick_at = p.tick_at, 0
             # Of the most frequent directions the first in the list is the most recent one.
@@ -228,12 +253,13 @@ def _opposite(form: str) -> str:
 
 
 def profile_stream(events: DataFrame, rules: Rules = Rules(), event_time: bool = False,
-                   delay: str = "10 seconds", ttl_ms: int | None = None) -> DataFrame:
+                   delay: str = "10 seconds") -> DataFrame:
     """Outputs of all runs in one stream; column `out` tells them apart.
 
     `events` are flat, with unusable triggers dropped (`guard_triggers`). By default the clock is
-    processing time, there is no watermark, and state is kept for
-    good; `ttl_ms` ends idle runs. With `event_time` a watermark of `delay` drives the timers.
+    processing time and there is no watermark. With `event_time` a watermark of `delay` drives the
+    timers, and events later than it are dropped: choose a delay that covers the source. State is
+    kept until `rules.idle_ms` after the last event of a run, for good without it.
     A micro-batch of one run is sorted in memory, so cap the trigger at the source
     (`maxOffsetsPerTrigger`, `maxFilesPerTrigger`).
     """
@@ -252,7 +278,7 @@ def profile_stream(events: DataFrame, rules: Rules = Rules(), event_time: bool =
         rows = rows.withColumn("event_time", F.timestamp_millis("timestamp")).withWatermark(
             "event_time", delay)
     return rows.groupBy("run_id").transformWithState(
-        RunProfile(rules, event_time, ttl_ms), OUTPUT, "Append",
+        RunProfile(rules, event_time), OUTPUT, "Append",
         "EventTime" if event_time else "ProcessingTime")
 
 

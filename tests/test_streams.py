@@ -17,7 +17,7 @@ from runlens.operators import adaptation as A
 from runlens.operators import snapshots as S
 from runlens.operators import training as R
 from runlens.plans.queries import STALE_MS, shown
-from runlens.schemas import FLAT_EVENT, SESSION_EVENT
+from runlens.schemas import FLAT_EVENT, SESSION_EVENT, WAITING_FIGHT
 from runlens.sinks import tables
 from runlens.sinks.topics import to_messages
 from runlens.sources.events import decode_fights, guard_triggers, read_events
@@ -145,7 +145,7 @@ def test_processing_time_clock(spark, flat, tmp_path):
     """With the clock of the machine a prediction comes two seconds after the first dash."""
     folder = str(tmp_path / "in")
     feed(flat({"event_type": C.DASH, "x": 1.0, "y": 0.0}), folder)
-    rows = P.predictions_of(P.profile_stream(source(spark, folder), ttl_ms=3_600_000))
+    rows = P.predictions_of(P.profile_stream(source(spark, folder), P.Rules(idle_ms=3_600_000)))
     query = rows.writeStream.format("memory").queryName("predictions").option(
         "checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="1 second").start()
     try:
@@ -159,6 +159,104 @@ def test_processing_time_clock(spark, flat, tmp_path):
     assert found == [("r", "right")]
 
 
+def test_idle_runs_end(spark, flat, tmp_path):
+    """Messages stop and state goes after the idle time; a later event begins the run anew."""
+    folder, checkpoint, out = (str(tmp_path / name) for name in ("in", "cp", "out"))
+    rules = P.Rules(kill_history=1, kill_min=1, idle_ms=12_000)
+
+    def run():
+        rows = P.profile_stream(source(spark, folder), rules, True, "1 second")
+        finish(rows.writeStream.format("parquet").option("path", out).option(
+            "checkpointLocation", checkpoint).trigger(**ONCE).start())
+
+    def stored():
+        state = spark.read.format("statestore").option("stateVarName", "profile").load(checkpoint)
+        return {row[0] for row in state.select("key.run_id").collect()}
+
+    feed(flat({"event_type": C.DASH, "timestamp": 1000, "x": 1.0, "y": 0.0},
+              {"event_type": C.MOVEMENT, "timestamp": 1500, "x": 1.0, "y": 0.0},
+              {"event_type": C.KILL, "timestamp": 2000, "x": -1.0, "y": 0.0}), folder)
+    feed(sentinel(spark, 100_000), folder)
+    run()
+    found = spark.read.schema(P.OUTPUT).parquet(out)
+    assert sorted(values(P.forms_of(found), "timestamp")) == [(2000,), (7000,), (12_000,)]
+    assert values(P.predictions_of(found), "timestamp", "prediction") == [(3000, "right")]
+    assert stored() == {"sentinel"}
+
+    # One batch holds the end of a run and its new beginning: no timer has to fire in between.
+    feed(flat({"event_type": C.DASH, "timestamp": 110_000, "x": 1.0, "y": 0.0},
+              {"event_type": C.ENCOUNTER, "timestamp": 111_000, "boss_archetype": "melee"},
+              {"event_type": C.ENCOUNTER, "timestamp": 150_000, "boss_archetype": "melee"}), folder)
+    run()
+    taken = P.snapshots_of(spark.read.schema(P.OUTPUT).parquet(out))
+    assert sorted(values(taken, "timestamp", "total_dashes")) == [(111_000, 1), (150_000, 0)]
+
+
+def test_fights_without_features_are_tried_again(spark, tmp_path):
+    cache, lake, training, folder, side = (
+        str(tmp_path / name) for name in ("cache", "lake", "training", "in", "side"))
+    taken = S.snapshots(gameplay_events(spark, SMALL))
+    first, second = [row[0] for row in taken.select("run_id").distinct().orderBy("run_id").limit(
+        2).collect()]
+    tables.ensure_tables(spark, training)
+
+    def fight(run):
+        rows = [(json.dumps({"event_type": C.BOSS_DONE, "run_id": run, "timestamp": 1, "payload": {
+            "boss_archetype": "melee", "win": "true", "encounter_id": run}}),)]
+        spark.createDataFrame(rows, "value string").coalesce(1).write.mode("append").text(folder)
+        time.sleep(1.1)
+        finish(jobs.start_enrichment(
+            decode_fights(read_events(spark, "text", path=folder)), cache, lake, training,
+            str(tmp_path / "cp"), unmatched=side, max_tries=2, **ONCE))
+        return read_lake(spark, lake).count()
+
+    def given_up():
+        return sorted(row["run_id"] for row in read_lake(
+            spark, f"{side}/given_up", WAITING_FIGHT).collect())
+
+    tables.upsert_latest(taken.filter(F.col("run_id") == first), cache, "0")
+    assert fight(second) == 0 and given_up() == []
+    tables.upsert_latest(taken.filter(F.col("run_id") == second), cache, "1")
+    assert fight("nobody") == 1
+    assert tables.read_training(spark, training).count() == 10
+    assert fight(first) == 2 and given_up() == ["nobody"]
+    assert fight(first) == 3 and given_up() == ["nobody"]
+
+
+def test_trained_weights_answer_triggers(spark, tmp_path):
+    """From stored training rows to a worded offer; an archetype without rows keeps its model."""
+    cache, training, weights, folder, topics = (
+        str(tmp_path / name) for name in ("cache", "training", "weights", "in", "topics"))
+    events = gameplay_events(spark, SMALL)
+    taken = S.snapshots(events)
+    tables.upsert_latest(taken, cache, "all")
+    records = R.training_records(events)
+    tables.append_training(R.oversampled_fights(records), training, "a")
+    jobs.run_training(spark, training, weights)
+
+    def stored():
+        return spark.read.schema(M.WEIGHTS).parquet(weights).select(M.WEIGHTS.fieldNames())
+
+    known = {row[0] for row in records.select("boss_archetype").distinct().collect()}
+    before = sorted(map(tuple, stored().collect()))
+    assert {row[0] for row in before} == known
+    kept = sorted(known)[0]
+    alone = str(tmp_path / "alone")
+    tables.append_training(records.filter(F.col("boss_archetype") == kept), alone, "a")
+    jobs.run_training(spark, alone, weights)
+    again = sorted(map(tuple, stored().collect()))
+    assert [row for row in again if row[0] != kept] == [row for row in before if row[0] != kept]
+
+    run = taken.agg(F.min("run_id")).first()[0]
+    asked = {"run_id": run, "encounter_id": "a", "boss_archetype": kept, "reply": "{}"}
+    spark.createDataFrame([(json.dumps(asked),)], "value string").coalesce(1).write.text(folder)
+    finish(jobs.start_offers(read_events(spark, "text", path=folder), cache, weights,
+                             str(tmp_path / "cp"), "parquet", {"path": topics}, **ONCE))
+    sent = [json.loads(json.loads(value)["payload"])
+            for value in texts(spark.read.parquet(f"{topics}/{C.RESULTS_TOPIC}"))]
+    assert [row["dialogue"] for row in sent] == [C.REPLY_DIALOGUE]
+
+
 def test_enrichment_and_bootstrap(spark, tmp_path):
     """Fights become training rows and lake records once, however often a batch is tried."""
     events, records = gameplay_events(spark, SMALL), gameplay_records(spark, SMALL)
