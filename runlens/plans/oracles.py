@@ -544,7 +544,7 @@ margins AS (SELECT event_id, boss_archetype, model, 0.1::DOUBLE + {' + '.join(
             f" THEN ({name} - mean_{name}) / sd_{name} ELSE 0 END"
             for at, name in enumerate(_FIELDS))} AS margin
   FROM rec LEFT JOIN figures ON model = boss_archetype),
-chances AS (SELECT *, 1 / (1 + exp(-margin)) AS win FROM margins)""", f"""
+chances AS (SELECT *, CASE WHEN model IS NOT NULL THEN 1 / (1 + exp(-margin)) END AS win FROM margins)""", f"""
 SELECT event_id, boss_archetype, CASE WHEN win > 0.5 THEN 'Win' WHEN win IS NOT NULL THEN 'Loss' END
   AS prediction, round(win, 6) AS win, round(greatest(win, 1 - win), 6) AS confidence,
   CASE WHEN model IS NOT NULL THEN '{_FIELDS[-1]}' END AS primary_feature,
