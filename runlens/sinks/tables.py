@@ -18,7 +18,7 @@ from runlens.operators.training import latest, to_lake
 from runlens.schemas import FEATURE_VECTOR, LAKE, TRAINING
 from runlens.sources.tables import read_lake, seed_rows, utc_day
 
-_RECORDS_PER_FILE = "1000"
+RECORDS_PER_FILE = 1000
 BUCKETS = 256
 
 SEED_BATCH = "seed"
@@ -106,12 +106,12 @@ def with_day(records: DataFrame, moment: str = "record_time") -> DataFrame:
 
 
 def land_raw(records: DataFrame, path: str, checkpoint: str, interval: str = "60 seconds",
-             moment: str = "record_time", **trigger):
-    """Stream records to day folders, with at most 1000 records per file."""
+             moment: str = "record_time", records_per_file: int = RECORDS_PER_FILE, **trigger):
+    """Stream records to day folders; large topics want far more `records_per_file`."""
     writer = with_day(records, moment).select("value", "dt").writeStream.format("text")
     return (
         writer.partitionBy("dt").option("path", path).option("checkpointLocation", checkpoint)
-        .option("maxRecordsPerFile", _RECORDS_PER_FILE)
+        .option("maxRecordsPerFile", records_per_file)
         .trigger(**(trigger or {"processingTime": interval})).start()
     )
 
