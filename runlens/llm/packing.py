@@ -32,13 +32,9 @@ END_ID = 2
 #: Pieces of a group on average: packed by one task, some 15 MB with all ids.
 GROUP_PIECES = 4_000
 #: Words a worker remembers with their ids; beyond it, it starts to collect them anew.
-REMEMBERED = 3 << 17
-#: Letters below this code point are letters to every Unicode version.
-_COMMON = 0x250
-#: Words of one call: the tokenizer's time for a text grows faster than its length.
-_AT_ONCE = 32
+REMEMBERED = 3 << 18
 _SEED = 20
-_PUNCTUATION = frozenset(".,;:!?")
+_PUNCTUATION = frozenset((b".", b",", b";", b":", b"!", b"?"))
 
 _TOKENS = "struct<n:bigint,crc:array<bigint>,ids:array<int>>"
 
@@ -47,8 +43,8 @@ class Words(dict):
     """Ids of words between ASCII white space, as the tokenizer gives them.
 
     The tokenizer lower-cases, drops white space, and never merges across it, so a text has the ids
-    of its words in turn, and words recur. A letter run before one mark of punctuation is a word
-    of its own.
+    of its words in turn, and words recur. A run of ASCII letters goes to the tokenizer's merges as
+    it is; before one mark of punctuation it is a word of its own.
     """
 
     def __init__(self, path: str) -> None:
@@ -56,48 +52,29 @@ class Words(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.ends = {rank for token, rank in self.tokenizer.get_vocab().items()
-                     if token.endswith("</w>")}
+        self.model = self.tokenizer.model
 
     def __missing__(self, word: bytes) -> tuple[int, ...]:
-        text = word.decode("utf-8", "replace")
-        if len(text) > 1 and text[-1] in _PUNCTUATION and text[:-1].isalpha():
+        if word.isalpha():
+            ids = tuple([token.id for token in self.model.tokenize(word.lower().decode())])
+        elif word[-1:] in _PUNCTUATION and word[:-1].isalpha():
             ids = self[word[:-1]] + self[word[-1:]]
         else:
-            ids = tuple(self.tokenizer.encode(text, add_special_tokens=False).ids)
+            ids = tuple(self.tokenizer.encode(
+                word.decode("utf-8", "replace"), add_special_tokens=False).ids)
+        if len(self) >= REMEMBERED:
+            self.clear()
         if len(word) <= 64:
             self[word] = ids
         return ids
 
-    def learn(self, words: set[bytes]) -> None:
-        """Remember the ids of all plain words among `words` by few calls of the tokenizer.
-
-        A word of letters is one run of tokens up to a token that ends a word.
-        """
-        if len(self) >= REMEMBERED:
-            self.clear()
-        plain = {word[:-1] if word[-1:] in b".,;:!?" else word for word in words}
-        texts = [word.decode("utf-8", "replace") for word in plain if word not in self]
-        texts = [text for text in texts if text.isalpha() and max(text) < chr(_COMMON)]
-        for at in range(0, len(texts), _AT_ONCE):
-            some, runs, run = texts[at:at + _AT_ONCE], [], []
-            for number in self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids:
-                run.append(number)
-                if number in self.ends:
-                    runs.append(tuple(run))
-                    run = []
-            if len(runs) == len(some) and not run:
-                self.update(zip([text.encode() for text in some], runs))
-
     def encode(self, data: bytes) -> np.ndarray:
         # Special tokens are matched, and combining marks (0xCC leads their bytes) put together
         # with their letters, before letters are lower-cased.
         if b"<|" not in data and b"\xcc" not in data:
             data = data.lower()
-        words = data.split()
-        self.learn({word for word in words if word not in self})
         ids: list[int] = []
-        for word in words:
+        for word in data.split():
             ids += self[word]
         ids.append(END_ID)
         return np.array(ids, np.uint32)
