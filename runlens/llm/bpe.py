@@ -29,7 +29,7 @@ from runlens.llm.common import lists, utf8
 #: Pieces of at most so many bytes are merged directly: the leaves of the tree.
 LEAF_BYTES = 8
 #: Encoded pieces that a worker remembers; beyond it, it starts to collect them anew.
-REMEMBERED = 3 << 17
+REMEMBERED = 1 << 18
 #: Leaves and seams that it remembers: halves of different pieces are often the same.
 REMEMBERED_PARTS = 1 << 17
 #: Longer texts are cut into pieces one by one, so that no list of all pieces is held.
@@ -169,11 +169,11 @@ def decoded(ids: Column | str, vocabulary: str) -> Column:
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         decoder = codec(vocabulary)
         for batch in batches:
-            ids = batch.flatten().to_numpy().tolist()
+            ids = batch.flatten().to_numpy()
             ends = accumulate(pc.fill_null(pc.list_value_length(batch), 0).to_pylist())
             at, texts = 0, []
             for end in ends:
-                texts.append(decoder.decode(ids[at:end]))
+                texts.append(decoder.decode(ids[at:end].tolist()))
                 at = end
             yield pa.array(texts, pa.binary())
 
