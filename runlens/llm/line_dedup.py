@@ -1,8 +1,9 @@
 """Line dedup by a deletion-neighbourhood join over words.
 
 A line goes if an earlier one, anywhere in the corpus, has its words but for one at most: one word
-exchanged, missing or added. Order is (id, line number), rows without an id last. Lines of fewer
-than `MIN_WORDS` words always stay; a difference of a word is allowed from `NEAR_WORDS` words on.
+exchanged, missing or added. A document is known by its id and a digest of its text; order is (id,
+digest, line number), rows without an id last. Lines of fewer than `MIN_WORDS` words always stay; a
+difference of a word is allowed from `NEAR_WORDS` words on.
 
 All variants of a line that lack one word are emitted as hashed keys. Lines that share a variant
 with the same place left out differ in that word at most; a line that equals another's variant
@@ -11,9 +12,10 @@ and a removal counts after the edit distance to that line was verified.
 
 Most lines have no near copy, and need no variants: lines within one word share their first or
 last words up to the middle, so only lines that share such a half with another one go on. Equal
-lines are one line with its earliest place throughout. Repeated rows (equal ids) are one document
-and keep the same lines. A null text has no lines, an empty one a single empty line; an empty table
-stays empty.
+lines are one line with its earliest place throughout. Repeated rows (equal ids, or none, and equal
+texts) are one document and keep the same lines; rows that share an id, or have none, but differ in
+text are different documents. A null text has no lines, an empty one a single empty line; an empty
+table stays empty.
 """
 
 from __future__ import annotations
@@ -32,6 +34,9 @@ MIN_WORDS = 5
 NEAR_WORDS = 8
 #: Rows without an id come after all others.
 _LAST = (1 << 63) - 1
+#: What a document is known by, and a line of it; both sort as the lines do.
+_DOC = ["doc", "key"]
+_PLACE = [*_DOC, "no"]
 
 _LINES = "array<struct<no:int,line:binary,halves:array<bigint>>>"
 _LINE_TYPE = pa.list_(pa.struct([
@@ -87,9 +92,9 @@ def variants(words: list[bytes]) -> list[tuple[int, int]]:
             for at, some in enumerate([words, *shorter], -1)]
 
 
-_VARIANT_FIELDS = [("doc", pa.int64()), ("no", pa.int32()), ("variant", pa.int64()),
-                   ("at", pa.int32())]
-_WORDS_FIELDS = [("doc", pa.int64()), ("no", pa.int32()), ("words", pa.binary())]
+_PLACE_FIELDS = [("doc", pa.int64()), ("key", pa.binary()), ("no", pa.int32())]
+_VARIANT_FIELDS = [*_PLACE_FIELDS, ("variant", pa.int64()), ("at", pa.int32())]
+_WORDS_FIELDS = [*_PLACE_FIELDS, ("words", pa.binary())]
 
 
 def _table(rows: list[tuple], fields: list) -> pa.RecordBatch:
@@ -104,7 +109,8 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         for row in batch.to_pylist():
-            out += [(row["doc"], row["no"], *pair) for pair in variants(row["words"].split())]
+            place = row["doc"], row["key"], row["no"]
+            out += [(*place, *pair) for pair in variants(row["words"].split())]
             if len(out) > 50_000:
                 yield _table(out, _VARIANT_FIELDS)
                 out = []
@@ -136,27 +142,29 @@ def _nth_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The words of chosen lines of each text."""
     for batch in batches:
         out = []
-        for doc, data, numbers in zip(*[batch.column(name) for name in ("doc", "data", "nos")]):
-            lines, doc = data.as_py().split(b"\n"), doc.as_py()
-            out += [(doc, no, b" ".join(lines[no].split())) for no in numbers.as_py()]
+        for doc, key, data, numbers in zip(*[
+                batch.column(name) for name in (*_DOC, "data", "nos")]):
+            lines, doc, key = data.as_py().split(b"\n"), doc.as_py(), key.as_py()
+            out += [(doc, key, no, b" ".join(lines[no].split())) for no in numbers.as_py()]
         yield _table(out, _WORDS_FIELDS)
 
 
 def near_copies(docs: DataFrame, firsts: DataFrame) -> DataFrame:
-    """Places (doc, no) of lines with an earlier line of other words within one word.
+    """Places (doc, key, no) of lines with an earlier line of other words within one word.
 
-    `docs` has `doc` and `data`; `firsts` the earliest place of each line, by which it is known
-    from here on, and its halves.
+    `docs` has `doc`, `key` and `data`; `firsts` the earliest place of each line, by which it is
+    known from here on, and its halves.
     """
-    half = firsts.select("doc", "no", F.explode("halves").alias("half"))
+    half = firsts.select(*_PLACE, F.explode("halves").alias("half"))
     shared = half.groupBy("half").agg(F.count("*").alias("n")).filter("n > 1").select("half")
-    wanted = half.join(shared, "half", "left_semi").groupBy("doc").agg(
+    wanted = half.join(shared, "half", "left_semi").groupBy(*_DOC).agg(
         F.collect_set("no").alias("nos"))
-    words = stage(docs.join(wanted, "doc").select("doc", "data", "nos").mapInArrow(
-        _nth_lines, "doc long, no int, words binary"), "words")
-    emitted = stage(words.mapInArrow(_emit, "doc long, no int, variant long, at int"), "variants")
+    words = stage(docs.join(wanted, _DOC).select(*_DOC, "data", "nos").mapInArrow(
+        _nth_lines, "doc long, key binary, no int, words binary"), "words")
+    emitted = stage(words.mapInArrow(
+        _emit, "doc long, key binary, no int, variant long, at int"), "variants")
 
-    place = F.struct("doc", "no")
+    place = F.struct(*_PLACE)
     exchanged = emitted.filter("at >= 0").groupBy("variant", "at").agg(
         F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1")
     met = emitted.join(exchanged.select("variant", "at", "first"), ["variant", "at"])
@@ -165,44 +173,52 @@ def near_copies(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     ends = ends.filter(F.col("whole").isNotNull() & F.col("less").isNotNull())
     missing = emitted.join(ends, "variant").withColumn(
         "first", F.when(F.col("at") < 0, F.col("less")).otherwise(F.col("whole")))
-    met = stage(met.select("doc", "no", "first").unionByName(
-        missing.select("doc", "no", "first")).filter(F.col("first") < place).distinct(), "met")
+    met = stage(met.select(*_PLACE, "first").unionByName(
+        missing.select(*_PLACE, "first")).filter(F.col("first") < place).distinct(), "met")
 
     # A removal counts after the distance between the words of both lines was verified.
-    words = words.dropDuplicates(["doc", "no"])
-    both = met.select("doc", "no", F.col("first.doc").alias("doc_"), F.col("first.no").alias(
-        "no_")).join(words, ["doc", "no"]).join(words.select(
-            F.col("doc").alias("doc_"), F.col("no").alias("no_"), F.col("words").alias("other")),
-            ["doc_", "no_"])
-    return both.filter(_verified(F.col("words"), F.col("other"))).select("doc", "no").distinct()
+    words = words.dropDuplicates(_PLACE)
+    both = met.select(*_PLACE, *[F.col(f"first.{name}").alias(f"{name}_") for name in _PLACE]).join(
+        words, _PLACE).join(words.select(
+            *[F.col(name).alias(f"{name}_") for name in _PLACE], F.col("words").alias("other")),
+            [f"{name}_" for name in _PLACE])
+    return both.filter(_verified(F.col("words"), F.col("other"))).select(*_PLACE).distinct()
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS) -> DataFrame:
-    """Numbers of the lines each document loses: `doc` and array `removed`, from 0.
+    """Numbers of the lines each document loses: `doc`, `key` and array `removed`, from 0.
 
-    `doc` is the id, or the largest long for rows without one.
+    `doc` is the id, or the largest long for rows without one; `key` is of the text.
     """
-    rows = docs.select(_doc(id_col).alias("doc"), utf8(F.col(f"`{text_col}`")).alias("data"))
-    lines = stage(rows.select("doc", F.explode(
-        line_keys(F.col("data"), min_words, near_words)).alias("l")).select("doc", "l.*"), "lines")
-    place = F.struct("doc", "no")
+    rows = docs.select(_doc(id_col).alias("doc"), _key(id_col, text_col).alias("key"),
+                       utf8(F.col(f"`{text_col}`")).alias("data"))
+    lines = stage(rows.select(*_DOC, F.explode(
+        line_keys(F.col("data"), min_words, near_words)).alias("l")).select(*_DOC, "l.*"), "lines")
+    place = F.struct(*_PLACE)
     firsts = stage(lines.groupBy("line").agg(
-        F.min(F.struct("doc", "no", "halves")).alias("first"), F.count("*").alias("n")).select(
+        F.min(F.struct(*_PLACE, "halves")).alias("first"), F.count("*").alias("n")).select(
             "line", "first.*", "n"), "firsts")
     near = near_copies(rows, firsts.filter(F.size("halves") > 0)).withColumn("near", F.lit(True))
-    doubtful = firsts.select("line", "doc", "no", "n").join(near, ["doc", "no"], "left").filter(
+    doubtful = firsts.select("line", *_PLACE, "n").join(near, _PLACE, "left").filter(
         "n > 1 or near").select(
         "line", place.alias("first"), F.coalesce("near", F.lit(False)).alias("near"))
-    gone = lines.select("doc", "no", "line").join(doubtful, "line").filter(
+    gone = lines.select(*_PLACE, "line").join(doubtful, "line").filter(
         F.col("near") | (place != F.col("first")))
-    return gone.groupBy("doc").agg(F.array_sort(F.collect_set("no")).alias("removed"))
+    return gone.groupBy(*_DOC).agg(F.array_sort(F.collect_set("no")).alias("removed"))
 
 
 def _doc(id_col: str) -> Column:
     return F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_LAST))
 
 
+def _key(id_col: str, text_col: str) -> Column:
+    """Digest of the text, after a byte that sets rows without an id behind the largest id."""
+    missing = F.col(f"`{id_col}`").cast("long").isNull()
+    return F.unhex(F.concat(F.when(missing, "01").otherwise("00"), F.md5(
+        utf8(F.col(f"`{text_col}`")))))
+
+
 def without_lines(text: Column, removed: Column) -> Column:
     """Text without the numbered lines; the text itself where none is to go."""
     kept = F.filter(F.split(text, "\n"), lambda _, at: ~F.array_contains(removed, at))
@@ -213,8 +229,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS) -> DataFrame:
     """Rows of `docs` without their later lines, and the numbers of those as `removed_lines`."""
     gone = stage(removed_lines(docs, id_col, text_col, min_words, near_words), "removed")
-    rows = packed(docs, doc=_doc(id_col), text=F.col(f"`{text_col}`"))
-    joined = rows.join(gone, "doc", "left")
+    rows = packed(docs, doc=_doc(id_col), key=_key(id_col, text_col), text=F.col(f"`{text_col}`"))
+    joined = rows.join(gone, _DOC, "left")
     return unpacked(joined, **{
         text_col: without_lines(F.col("text"), F.col("removed")),
         "removed_lines": F.coalesce("removed", F.array().cast("array<int>"))})

@@ -140,6 +140,40 @@ def test_line_dedup(spark, odd, empty):
     assert kept == {1: line, 2: "", 3: "", 4: "", 5: "", None: "", 6: "a b\na b"}
 
 
+def test_line_dedup_knows_documents_by_id_and_text(spark):
+    def line(name, n=9):
+        return " ".join(f"{name}{i}" for i in range(n))
+
+    def near(text):
+        return text.replace("2", "two")
+
+    last = (1 << 63) - 1
+    long, short = "\n".join(map(line, "abcd")), "\n".join(map(line, "efgh"))
+    docs = spark.createDataFrame(rows_of(
+        (1, f"{near(line('d'))}\n{line('m', 5)}"),
+        # Rows without an id: line 3 of one has an earlier near copy, line 3 of the other has none.
+        (None, long), (None, short), (None, long), (None, line("s")),
+        # One id, other texts: equal lines at the same place, and near ones.
+        (7, f"{line('p')}\n{line('q')}"), (7, line("p")), (7, f"{near(line('p'))}\n{line('r')}"),
+        (None, f"{line('t')}\n{line('u')}"), (None, f"{line('t')}\n{line('v')}"),
+        # The largest id is an id: its row comes before one without.
+        (last, line("w")), (None, line("w"))), SCHEMA)
+    found = line_dedup.dedup_lines(docs).collect()
+    kept = sorted((row.doc_id or 0, row.text) for row in found)
+    assert len(kept) == 12
+    assert [text for i, text in kept if i == 1] == [f"{near(line('d'))}\n{line('m', 5)}"]
+    without = "\n".join(map(line, "abc"))
+    texts = [text for i, text in kept if not i]
+    assert texts.count(without) == 2 and short in texts and line("s") in texts
+    assert [text for i, text in kept if i == last] == [line("w")] and line("w") not in texts
+    # Of copies in rows with one id or none, one stays, and every other line does.
+    shared = "\n".join(text for i, text in kept if i == 7).split("\n")
+    assert sum(text in (line("p"), near(line("p"))) for text in shared) == 1
+    assert {line("q"), line("r")} <= {*shared}
+    lines = "\n".join(texts).split("\n")
+    assert [lines.count(line(name)) for name in "tuv"] == [1, 1, 1]
+
+
 def test_url_filter(spark):
     rows = [(None,), ("",), ("no scheme",), ("http://A.Example.COM?x",), ("http://b.org/p/q#f",)]
     host, path = url_filter.host_and_path("url")
