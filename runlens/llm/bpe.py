@@ -13,25 +13,26 @@ Null and empty texts give no ids and no bytes. A text of any length is encoded w
 from __future__ import annotations
 
 import base64
-from array import array
 from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
-from itertools import accumulate, chain
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.common import lists, utf8
+from runlens.llm.common import Remembered, lists, utf8
 
 #: Pieces of at most so many bytes are merged directly: the leaves of the tree.
 LEAF_BYTES = 8
-#: Encoded pieces that a worker remembers; beyond it, it starts to collect them anew.
-REMEMBERED = 1 << 18
-#: Leaves and seams that it remembers: halves of different pieces are often the same.
-REMEMBERED_PARTS = 1 << 17
+#: Bytes of encoded pieces that a worker remembers.
+REMEMBERED = 48 << 20
+#: Bytes of leaves, and of seams, that it remembers: halves of different pieces are often the same.
+REMEMBERED_PARTS = 24 << 20
+#: Bytes of texts that are handed back at once.
+BATCH_BYTES = 4 << 20
 #: Longer texts are cut into pieces one by one, so that no list of all pieces is held.
 STREAMED_CHARS = 1 << 20
 
@@ -42,27 +43,29 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-class Codec(dict):
-    """Encoder and decoder of one vocabulary; as a dict, it remembers pieces and their ids."""
+class Codec:
+    """Encoder and decoder of one vocabulary."""
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
-        super().__init__()
         self.ranks = ranks
         self.token = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.token[rank] = token
-        self.leaf = lru_cache(REMEMBERED_PARTS)(self._merged)
-        self.seam = lru_cache(REMEMBERED_PARTS)(self._seam)
-
-    def __missing__(self, piece: str) -> tuple[int, ...]:
+        #: Ids are handed on as machine words, two bytes each where the vocabulary allows.
+        self.kind = np.dtype(np.uint16 if len(self.token) <= 1 << 16 else np.uint32)
+        self.leaf = Remembered(self._merged, REMEMBERED_PARTS).__getitem__
+        self.seams = Remembered(self._seam, REMEMBERED_PARTS).__getitem__
+        self.short = Remembered(self._piece, REMEMBERED).__getitem__
+
+    def _piece(self, piece: str) -> bytes:
+        """Ids of one piece as machine words."""
         data = piece.encode()
         whole = self.ranks.get(data)
         ids = self.encode_bytes(data) if whole is None else (whole,)
-        if len(self) >= REMEMBERED:
-            self.clear()
-        if len(data) <= 32:
-            self[piece] = ids
-        return ids
+        return np.array(ids, self.kind).tobytes()
+
+    def piece(self, piece: str) -> bytes:
+        return self.short(piece) if len(piece) <= 32 else self._piece(piece)
 
     # --- encoding ---
 
@@ -91,10 +94,13 @@ class Codec(dict):
                 pairs[at] = ranks.get(parts[at] + parts[at + 1], none)
         return tuple([ranks[part] for part in parts])
 
-    def _seam(self, *tokens: int) -> tuple[int, ...]:
+    def _seam(self, tokens: tuple[int, ...]) -> tuple[int, ...]:
         """Ids of the bytes of neighbouring tokens."""
         return self._merged(b"".join([self.token[t] for t in tokens]))
 
+    def seam(self, *tokens: int) -> tuple[int, ...]:
+        return self.seams(tokens) if len(tokens) <= 8 else self._seam(tokens)
+
     def _join(self, left: tuple[int, ...], right: tuple[int, ...]) -> tuple[int, ...]:
         if not left or not right:
             return left or right
@@ -133,14 +139,18 @@ def _pattern(pattern: str):
     return regex.compile(pattern)
 
 
-def encode_text(text: str, pattern: str, encoder: Codec) -> array:
+def encode_text(text: str, pattern: str, encoder: Codec) -> np.ndarray:
     """Ids of a whole text."""
     cut = _pattern(pattern)
     pieces = cut.findall(text) if len(text) <= STREAMED_CHARS else (
         match.group() for match in cut.finditer(text))
-    ids = array("i")
-    ids.extend(chain.from_iterable(map(encoder.__getitem__, pieces)))
-    return ids
+    return np.frombuffer(b"".join(map(encoder.piece, pieces)), encoder.kind)
+
+
+def _ids(found: list[np.ndarray]) -> pa.ListArray:
+    """Lists of ids, one per text."""
+    joined = np.concatenate(found) if found else np.empty(0)
+    return lists(pa.array(joined.astype(np.int32)), map(len, found))
 
 
 def encoded(text: Column | str, vocabulary: str, pattern: str) -> Column:
@@ -153,16 +163,40 @@ def encoded(text: Column | str, vocabulary: str, pattern: str) -> Column:
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = codec(vocabulary)
         for batch in batches:
-            ids, sizes = array("i"), []
-            for data in batch:
-                found = encode_text(data.as_py().decode("utf-8", "replace"), pattern, encoder)
-                ids.extend(found)
-                sizes.append(len(found))
-            yield lists(pa.array(np.frombuffer(ids, np.int32) if ids else [], pa.int32()), sizes)
+            yield _ids([encode_text(data.as_py().decode("utf-8", "replace"), pattern, encoder)
+                        for data in batch])
 
     return _udf(encode, "array<int>")(utf8(text))
 
 
+def round_trip(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id",
+               text_col: str = "text") -> DataFrame:
+    """Token ids of whole texts and the bytes they decode to, in one pass: id, ids, decoded.
+
+    Texts are handed back in batches of a few megabytes, whatever came in at once.
+    """
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = codec(vocabulary)
+        for batch in batches:
+            ids, texts, held, start = [], [], 0, 0
+            for at, data in enumerate(batch.column(1), 1):
+                data = data.as_py()
+                ids.append(encode_text(data.decode("utf-8", "replace"), pattern, coder))
+                texts.append(coder.decode(ids[-1].tolist()))
+                held += len(data)
+                if held >= BATCH_BYTES or at == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).slice(start, at - start), _ids(ids),
+                         pa.array(texts, pa.binary())], ["id", "ids", "decoded"])
+                    ids, texts, held, start = [], [], 0, at
+
+    key = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), utf8(F.col(f"`{text_col}`")).alias("data"))
+    return rows.mapInArrow(code, f"id {key}, ids array<int>, decoded binary").withColumnRenamed(
+        "id", id_col)
+
+
 def decoded(ids: Column | str, vocabulary: str) -> Column:
     """Bytes of token id arrays; null is empty."""
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from sys import getsizeof
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 ROW = "_row"
 #: What separates words: space and the control characters tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
+#: What an entry takes in a dictionary that grew to hold it.
+SLOT_BYTES = 64
 
 
 def packed(df: DataFrame, **columns: Column) -> DataFrame:
@@ -39,6 +42,27 @@ def utf8(column: Column | str) -> Column:
     return F.coalesce(column.cast("string"), F.lit("")).cast("binary")
 
 
+class Remembered(dict):
+    """Results of `work` by argument, of at most about `most` bytes; beyond, collected anew.
+
+    Every worker of an executor holds its own, so the bound is one of bytes, not of entries.
+    """
+
+    def __init__(self, work: Callable, most: int) -> None:
+        super().__init__()
+        self.work, self.most, self.held = work, most, 0
+
+    def __missing__(self, key):
+        value = self.work(key)
+        self.held += getsizeof(key) + getsizeof(value) + SLOT_BYTES
+        if self.held > self.most:
+            self.clear()
+            self.held = getsizeof(key) + getsizeof(value) + SLOT_BYTES
+        if self.held <= self.most:
+            self[key] = value
+        return value
+
+
 def lists(values: pa.Array, sizes: Iterable[int]) -> pa.ListArray:
     """List array of consecutive runs of `values`."""
     offsets = [0]

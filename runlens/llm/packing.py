@@ -16,68 +16,65 @@ import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 from math import ceil
+from struct import pack as pack_words
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from runlens.llm.common import lists, utf8
+from runlens.llm.common import Remembered, lists, utf8
 from runlens.session import stage
 
 SEQUENCE = 4096
 END_ID = 2
-#: Pieces of a group on average: packed by one task, some 15 MB with all ids.
+#: Pieces of a group on average: packed by one task, some 65 MB at most with all ids.
 GROUP_PIECES = 4_000
-#: Words a worker remembers with their ids; beyond it, it starts to collect them anew.
-REMEMBERED = 3 << 18
+#: Bytes of words with their ids that a worker remembers.
+REMEMBERED = 80 << 20
 _SEED = 20
 _PUNCTUATION = frozenset((b".", b",", b";", b":", b"!", b"?"))
 
 _TOKENS = "struct<n:bigint,crc:array<bigint>,ids:array<int>>"
 
 
-class Words(dict):
+class Words:
     """Ids of words between ASCII white space, as the tokenizer gives them.
 
     The tokenizer lower-cases, drops white space, and never merges across it, so a text has the ids
     of its words in turn, and words recur. A run of ASCII letters goes to the tokenizer's merges as
-    it is; before one mark of punctuation it is a word of its own.
+    it is; before one mark of punctuation it is a word of its own. Ids are kept as machine words,
+    two bytes each where the vocabulary allows.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        small = self.tokenizer.get_vocab_size() <= 1 << 16
+        self.kind = np.dtype("<u2" if small else "<u4")
+        self.code = "<%dH" if small else "<%dI"
+        self.ids = Remembered(self._ids, REMEMBERED)
 
-    def __missing__(self, word: bytes) -> tuple[int, ...]:
+    def _ids(self, word: bytes) -> bytes:
         if word.isalpha():
-            ids = tuple([token.id for token in self.model.tokenize(word.lower().decode())])
+            ids = [token.id for token in self.model.tokenize(word.lower().decode())]
         elif word[-1:] in _PUNCTUATION and word[:-1].isalpha():
-            ids = self[word[:-1]] + self[word[-1:]]
+            return self.ids[word[:-1]] + self.ids[word[-1:]]
         else:
-            ids = tuple(self.tokenizer.encode(
-                word.decode("utf-8", "replace"), add_special_tokens=False).ids)
-        if len(self) >= REMEMBERED:
-            self.clear()
-        if len(word) <= 64:
-            self[word] = ids
-        return ids
+            ids = self.tokenizer.encode(
+                word.decode("utf-8", "replace"), add_special_tokens=False).ids
+        return pack_words(self.code % len(ids), *ids)
 
     def encode(self, data: bytes) -> np.ndarray:
         # Special tokens are matched, and combining marks (0xCC leads their bytes) put together
         # with their letters, before letters are lower-cased.
         if b"<|" not in data and b"\xcc" not in data:
             data = data.lower()
-        ids: list[int] = []
-        for word in data.split():
-            ids += self[word]
-        ids.append(END_ID)
-        return np.array(ids, np.uint32)
+        ids = np.frombuffer(b"".join(map(self.ids.__getitem__, data.split())), self.kind)
+        return np.append(ids.astype(np.uint32), np.uint32(END_ID))
 
 
 @lru_cache(1)
@@ -169,13 +166,18 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
                         T.StructField("sequence_id", T.LongType()),
                         T.StructField("offset", T.LongType())])
 
-    def packed(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "ids_crc32", "start"], kind="stable")
-        number, offset = first_fit_decreasing(rows["length"].to_numpy(), SEQUENCE)
-        part = int(rows["part"].iloc[0])
-        return rows.drop(columns="part").assign(sequence_id=(part << 32) + number, offset=offset)
-
-    placed = pieces.groupBy("part").applyInPandas(packed, out)
+    def packed(rows: pa.Table) -> pa.Table:
+        # Places are added beside the columns, which stay as they are: ids are never copied.
+        length, crc, start = (rows[name].to_numpy() for name in ("length", "ids_crc32", "start"))
+        order = np.lexsort((start, crc, length))
+        number, offset = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+        number[order], offset[order] = first_fit_decreasing(length[order], SEQUENCE)
+        part = rows["part"][0].as_py()
+        return rows.drop_columns(["part"]).append_column(
+            "sequence_id", pa.array((part << 32) + number)).append_column(
+            "offset", pa.array(offset))
+
+    placed = pieces.groupBy("part").applyInArrow(packed, out)
     return placed.select(
         F.col("doc_id").alias(id_col), "start", "length", *(["ids"] if keep_ids else []),
         "ids_crc32", "doc_tokens", "sequence_id", "offset")

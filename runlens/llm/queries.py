@@ -58,10 +58,11 @@ def op2_suffix_dedup(spark, sf_dir):
     whole = docs.select("doc_id", suffix_dedup.text_key(F.col("text")).alias("key"),
                         F.octet_length(utf8("text")).cast("long").alias("n_bytes"),
                         F.sha2(utf8("text"), 256).alias("whole"))
+    n_removed = F.coalesce("n_removed", F.lit(0))
     return whole.join(cuts, "key", "left").select(
-        "doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"),
+        "doc_id", "n_bytes", n_removed.alias("n_removed"),
         F.coalesce("n_spans", F.lit(0)).alias("n_spans"),
-        F.coalesce("kept", "whole").alias("kept_sha256"))
+        F.coalesce("kept", "whole").alias("kept_sha256"), (n_removed > 0).alias("changed"))
 
 
 @query
@@ -104,12 +105,11 @@ def op6_top_k(spark, sf_dir):
 
 @query
 def op7_byte_bpe(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(
-        "doc_id", bpe.encoded("text", RANKS, public_tokenizers.PATTERN).alias("ids"))
+    coded = bpe.round_trip(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
-    return docs.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
-                       F.sha2(ids.cast("binary"), 256).alias("ids_sha256"),
-                       F.sha2(bpe.decoded("ids", RANKS), 256).alias("decoded_sha256"))
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                        F.sha2(ids.cast("binary"), 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 @query
