@@ -77,4 +77,25 @@ ORACLES = {
     SELECT p.page_id, p.host, p.path, best.rule, coalesce(best.verdict, CASE WHEN EXISTS (
              SELECT 1 FROM listed l WHERE {_fits("l")}) THEN 'block' ELSE 'allow' END) AS verdict
     FROM p LEFT JOIN best USING (page_id)""",
+    "op11_hard_negatives": """
+    WITH units AS (
+      SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+             list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+      WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    scored AS (
+      SELECT a.vec_id AS anchor_id, c.vec_id AS other_id, a.label = c.label AS same,
+             list_dot_product(a.v, c.v)::BIGINT AS score
+      FROM units a JOIN units c ON a.vec_id != c.vec_id WHERE a.vec_id % 100 = 0),
+    positives AS (
+      SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scored WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5),
+    ranked AS (
+      SELECT p.*, s.other_id AS negative_id, s.score AS negative_score,
+             row_number() OVER (PARTITION BY p.anchor_id, p.positive_id
+                                ORDER BY s.score DESC, s.other_id)::INT AS rank
+      FROM positives p JOIN scored s ON p.anchor_id = s.anchor_id AND NOT s.same
+        AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score)
+    SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score
+    FROM ranked WHERE rank <= 10""",
 }

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from runlens.llm import bpe
 from runlens.llm import classifier
 from runlens.llm import compression_rules
+from runlens.llm import hard_negatives
+from runlens.llm import language_id
 from runlens.llm import line_dedup
 from runlens.llm import packing
 from runlens.llm import sharding
@@ -137,3 +139,19 @@ def op9_url_filter(spark, sf_dir):
 @query
 def op10_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), WORDS, keep_ids=False)
+
+
+@query
+def op11_hard_negatives(spark, sf_dir):
+    key = F.col("vec_id")
+    label = F.when(key % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(
+        table(spark, sf_dir, "embeddings"), key % 100 == 0, label, 256.0)
+
+
+@query
+def op12_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = language_id.identify(docs, language_id.fit(docs))
+    return found.select("doc_id", language_id.is_held_out(F.col("doc_id")).alias("held_out"),
+                        "lang_pred", "score", "n_words", F.size("spans").alias("n_spans"))
