@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from runlens.llm import bpe
 from runlens.llm import classifier
 from runlens.llm import compression_rules
+from runlens.llm import conversation_repair
 from runlens.llm import hard_negatives
 from runlens.llm import language_id
 from runlens.llm import line_dedup
@@ -155,3 +156,9 @@ def op12_language_id(spark, sf_dir):
     found = language_id.identify(docs, language_id.fit(docs))
     return found.select("doc_id", language_id.is_held_out(F.col("doc_id")).alias("held_out"),
                         "lang_pred", "score", "n_words", F.size("spans").alias("n_spans"))
+
+
+@query
+def op13_conversation_repair(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations")
+    return conversation_repair.repair(conversation_repair.damaged(turns))
