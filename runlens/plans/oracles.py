@@ -627,6 +627,8 @@ SELECT conv_id, turn, md5(CASE WHEN turn % 3 <> 0 AND text IS NOT NULL
         "streamed_snapshots": _with(snap, f"""
 SELECT event_id, run_id, player_id, arch AS boss_archetype, encounter AS "encounterId", {_FEATURES},
   counts AS upgrade_counts FROM snap"""),
+        "streamed_fights_with_snapshots": _with(rec, f"""
+SELECT event_id, run_id, boss_archetype, win, snapshot_id, "encounterId", {_FEATURES} FROM rec"""),
         "streamed_forms": _with(STALE, "SELECT run_id, moment, form FROM stale", True),
         "streamed_predictions": _with(predictions(2000) + """,
 horizon AS (SELECT max(timestamp) AS h FROM g)""",

@@ -28,6 +28,7 @@ from runlens.sinks.topics import to_messages
 from runlens.sources import events as X
 from runlens.sources import tables as sources
 from runlens.sources.telemetry import gameplay_events, gameplay_records
+from runlens.streaming import asof, replay
 from runlens.streaming import profile as P
 from runlens.streaming.jobs import run_bootstrap
 
@@ -754,3 +755,37 @@ def streamed_forms(spark, sf_dir):
 def streamed_predictions(spark, sf_dir):
     return P.predictions_of(_streamed(spark, sf_dir)).select(
         "run_id", F.col("timestamp").alias("moment"), "prediction")
+
+
+SLICES = 10
+
+
+def _fed(spark: SparkSession, *tables: DataFrame) -> list[replay.Feed]:
+    """Tables cut at the quantiles of the first one's time, each a slice later than the one before."""
+    cuts = replay.time_cuts(tables[0], SLICES)
+    return [replay.Feed(replay.by_slice(table, cuts), _folder(spark, "fed"), lag)
+            for lag, table in enumerate(tables)]
+
+
+def _after(events: DataFrame) -> int:
+    return events.agg(F.max("timestamp")).first()[0] + 1
+
+
+@query
+def streamed_fights_with_snapshots(spark, sf_dir):
+    """Fights joined in the stream; snapshots arrive a slice later than the fights of their time."""
+    events = gameplay_events(spark, sf_dir)
+    fights, taken = feeds = _fed(spark, S.fights(events), S.snapshots(events))
+    path = _folder(spark, "asof")
+
+    def start(**trigger):
+        found = asof.asof_stream(fights.watched(), taken.watched(), "0 seconds", idle_ms=None)
+        return found.writeStream.format("parquet").option("path", f"{path}/out").option(
+            "checkpointLocation", f"{path}/checkpoint").trigger(
+                **(trigger or {"processingTime": "0 seconds"})).start()
+
+    replay.replay(feeds, SLICES, start, restarts=(SLICES // 2,), closing=_after(events))
+    found = asof.matched(spark.read.schema(asof.OUTPUT).parquet(f"{path}/out"))
+    return shown(found.select("event_id", "run_id", "boss_archetype", "win", "snapshot_id",
+                              "encounterId", *NUMERIC_FEATURES),
+                 total_damage_dealt=2, total_damage_taken=2, damage_taken_from_elites=2)
