@@ -629,6 +629,14 @@ SELECT event_id, run_id, player_id, arch AS boss_archetype, encounter AS "encoun
   counts AS upgrade_counts FROM snap"""),
         "streamed_fights_with_snapshots": _with(rec, f"""
 SELECT event_id, run_id, boss_archetype, win, snapshot_id, "encounterId", {_FEATURES} FROM rec"""),
+        "streamed_training_rows": _with(rec, f"""
+SELECT boss_archetype, {_FEATURES}, upgrade_counts, outcome FROM rec, LATERAL (SELECT unnest(range(
+  CASE WHEN event_type = 'boss_fight_completed' THEN 10 ELSE 1 END)))"""),
+        "audited_enrichment": _with(f"""{rec}, every AS (
+SELECT count(*) AS n FROM g WHERE {_FIGHT} AND arch IS NOT NULL AND arch <> 'none')""", """
+SELECT any_value(n) AS loaded, count(*) AS enriched, any_value(n) - count(*) AS expired,
+  sum(CASE WHEN weight = 1 THEN 10 ELSE 1 END)::BIGINT AS oversampled,
+  count(*) FILTER (weight = 1) AS persisted FROM rec, every"""),
         "streamed_forms": _with(STALE, "SELECT run_id, moment, form FROM stale", True),
         "streamed_predictions": _with(predictions(2000) + """,
 horizon AS (SELECT max(timestamp) AS h FROM g)""",

@@ -21,7 +21,7 @@ from runlens.operators import features as E
 from runlens.operators import snapshots as S
 from runlens.operators import training as R
 from runlens.operators.runs import ORDER, newest, union_all
-from runlens.schemas import ENVELOPE, FLAT_EVENT, NUMERIC_FEATURES
+from runlens.schemas import AUDIT, ENVELOPE, FLAT_EVENT, NUMERIC_FEATURES
 from runlens.session import scratch_dir, stage
 from runlens.sinks import tables as sinks
 from runlens.sinks.topics import to_messages
@@ -30,7 +30,7 @@ from runlens.sources import tables as sources
 from runlens.sources.telemetry import gameplay_events, gameplay_records
 from runlens.streaming import asof, replay
 from runlens.streaming import profile as P
-from runlens.streaming.jobs import run_bootstrap
+from runlens.streaming.jobs import audit_counts, run_bootstrap, start_asof_enrichment
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -760,9 +760,9 @@ def streamed_predictions(spark, sf_dir):
 SLICES = 10
 
 
-def _fed(spark: SparkSession, *tables: DataFrame) -> list[replay.Feed]:
+def _fed(spark: SparkSession, *tables: DataFrame, slices: int = SLICES) -> list[replay.Feed]:
     """Tables cut at the quantiles of the first one's time, each a slice later than the one before."""
-    cuts = replay.time_cuts(tables[0], SLICES)
+    cuts = replay.time_cuts(tables[0], slices)
     return [replay.Feed(replay.by_slice(table, cuts), _folder(spark, "fed"), lag)
             for lag, table in enumerate(tables)]
 
@@ -789,3 +789,34 @@ def streamed_fights_with_snapshots(spark, sf_dir):
     return shown(found.select("event_id", "run_id", "boss_archetype", "win", "snapshot_id",
                               "encounterId", *NUMERIC_FEATURES),
                  total_damage_dealt=2, total_damage_taken=2, damage_taken_from_elites=2)
+
+
+def _enriched(spark: SparkSession, sf_dir: str, slices: int) -> tuple[str, str]:
+    """Folders of the training tables and of the counts that the enrichment job has written."""
+    events = gameplay_events(spark, sf_dir)
+    fights, taken = feeds = _fed(spark, S.fights(events), S.snapshots(events), slices=slices)
+    path = _folder(spark, "enrichment")
+    sinks.ensure_tables(spark, f"{path}/training")
+
+    def start(**trigger):
+        return start_asof_enrichment(
+            fights.watched(), taken.watched(), f"{path}/lake", f"{path}/training", f"{path}/side",
+            f"{path}/checkpoint", "0 seconds", idle_ms=None, **trigger)
+
+    replay.replay(feeds, slices, start, restarts=(slices // 2,), closing=_after(events))
+    return f"{path}/training", f"{path}/side"
+
+
+@query
+def streamed_training_rows(spark, sf_dir):
+    """Training tables as the enrichment job appends them, batch by batch."""
+    stored = sinks.read_training(spark, _enriched(spark, sf_dir, SLICES)[0])
+    return shown(stored.select("boss_archetype", *R.to_training(stored).columns),
+                 total_damage_dealt=2, total_damage_taken=2, damage_taken_from_elites=2)
+
+
+@query
+def audited_enrichment(spark, sf_dir):
+    """Counts of the enrichment job, summed over its batches."""
+    counts = audit_counts(spark, _enriched(spark, sf_dir, 3)[1])
+    return counts.agg(*[F.sum(name).alias(name) for name in AUDIT.fieldNames()])

@@ -29,6 +29,10 @@ WAITING_FIGHT = T.StructType([
     T.StructField("win", T.BooleanType()), T.StructField("tries", T.IntegerType()),
 ])
 
+#: Counts of one micro-batch of an enrichment job.
+AUDIT = T.StructType([T.StructField(name, T.LongType()) for name in (
+    "loaded", "enriched", "expired", "oversampled", "persisted")])
+
 SESSION_EVENT = T.StructType([T.StructField("event_type", T.StringType())])
 
 

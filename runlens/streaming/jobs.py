@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from runlens import constants as C
@@ -16,7 +17,10 @@ from runlens.sinks import tables
 from runlens.sinks.topics import to_messages, write_topic
 from runlens.sources.events import decode_events, filter_type
 from runlens.sources.tables import read_lake
-from runlens.schemas import NUMERIC_FEATURES, SESSION_EVENT, TRIGGER_MESSAGE, WAITING_FIGHT
+from runlens.schemas import (
+    AUDIT, NUMERIC_FEATURES, SESSION_EVENT, TRIGGER_MESSAGE, WAITING_FIGHT,
+)
+from runlens.streaming import asof
 from runlens.streaming import profile as P
 
 _QUERY_ID = "sql.streaming.queryId"
@@ -95,6 +99,9 @@ def start_enrichment(fights: DataFrame, cache: str, lake: str, training: str, ch
                      **trigger) -> StreamingQuery:
     """Join fights with cached features; append training rows and, for bosses, lake records.
 
+    A fight gets the newest features cached at the time of the try, as there is nothing else in the
+    cache; `start_asof_enrichment` gives each the features of its own time and drops none.
+
     The enriched frame is kept for the two writes. Both are named by the batch, so a batch that is
     tried again replaces its own output. With a folder `unmatched`, fights whose run has no cached
     features yet are tried again in the next micro-batches, and after `max_tries` are kept there
@@ -128,6 +135,53 @@ def start_enrichment(fights: DataFrame, cache: str, lake: str, training: str, ch
     return start_batches(fights, work, checkpoint, **trigger)
 
 
+def start_asof_enrichment(fights: DataFrame, snapshots: DataFrame, lake: str, training: str,
+                          side: str, checkpoint: str, delay: str = "10 seconds",
+                          idle_ms: int | None = C.IDLE_MS, dry_run: bool = False,
+                          **trigger) -> StreamingQuery:
+    """Join the fights with the snapshots of their time; append training rows and lake records.
+
+    Nothing is dropped: fights that no snapshot came before are kept under `side/expired`. What was
+    loaded, enriched, expired, oversampled and persisted is counted by the writes themselves, with
+    no pass of its own, and kept under `side/audit`. All is named by the batch, so a batch that is
+    tried again replaces its own output.
+    """
+
+    def work(found: DataFrame, batch: str) -> None:
+        spark = found.sparkSession
+        found = found.persist()
+        try:
+            records = R.enriched_view(asof.matched(found))
+            if dry_run:
+                records.show(truncate=False)
+                return
+            loaded, appended, stored = (Observation(name) for name in (
+                "loaded", "appended", "stored"))
+            left = found.observe(loaded, F.count("*").alias("loaded"), F.count_if(
+                F.col("status") == asof.MATCHED).alias("enriched"), F.count_if(
+                F.col("status") == asof.EXPIRED).alias("expired"))
+            asof.expired(left).write.mode("overwrite").json(f"{side}/expired/batch={batch}")
+            tables.append_training(R.oversampled_fights(records).observe(
+                appended, F.count("*").alias("oversampled")), training, batch)
+            tables.append_lake(R.split_type(records)[1].observe(
+                stored, F.count("*").alias("persisted")), lake, batch)
+            counts = {**loaded.get, **appended.get, **stored.get}
+            spark.createDataFrame([tuple(counts[name] for name in AUDIT.fieldNames())], AUDIT
+                                  ).coalesce(1).write.mode("overwrite").json(
+                                      f"{side}/audit/batch={batch}")
+        finally:
+            found.unpersist()
+
+    return start_batches(asof.asof_stream(fights, snapshots, delay, idle_ms), work, checkpoint,
+                         **trigger)
+
+
+def audit_counts(spark: SparkSession, side: str) -> DataFrame:
+    """What each batch of an enrichment job loaded and wrote."""
+    return read_lake(spark, f"{side}/audit", T.StructType([
+        *AUDIT.fields, T.StructField("batch", T.StringType())]))
+
+
 def run_training(spark: SparkSession, training: str, weights: str) -> DataFrame:
     """Train on the stored tables and replace the weights that `start_offers` reads.
 
