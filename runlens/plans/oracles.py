@@ -613,6 +613,15 @@ SELECT event_id, CASE reply WHEN 0 THEN 'Beware.' WHEN 1 THEN 'Alone.'
     WHEN 2 THEN {text(C.REPLY_DIALOGUE)} END AS dialogue,
   CASE reply WHEN 0 THEN 'Second.' WHEN 1 THEN 'Choice 2' WHEN 2 THEN 'Another choice.'
     END AS second FROM t"""),
+        # --- feature cache
+        "cached_features": _with(snap, f"""
+SELECT event_id, run_id, player_id, arch AS boss_archetype, encounter AS "encounterId", {_FEATURES}
+FROM snap QUALIFY row_number() OVER (
+  PARTITION BY run_id ORDER BY timestamp DESC, event_id DESC) = 1"""),
+        "cached_features_of_final_fighters": _with(snap, f"""
+SELECT event_id, run_id, player_id, arch AS boss_archetype, encounter AS "encounterId", {_FEATURES}
+FROM snap WHERE run_id IN (SELECT run_id FROM g WHERE {_FIGHT} AND arch = 'final')
+QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY timestamp DESC, event_id DESC) = 1"""),
         # --- commentary
         "comment_prompts": _with(REQUESTS, f"""
 SELECT conv_id, turn, replace(replace(replace({_COMMENT}, '{{personality}}',

@@ -23,6 +23,7 @@ from runlens.operators import training as R
 from runlens.operators.runs import ORDER, newest, union_all
 from runlens.schemas import AUDIT, ENVELOPE, FLAT_EVENT, NUMERIC_FEATURES
 from runlens.session import scratch_dir, stage
+from runlens.sinks import cache
 from runlens.sinks import tables as sinks
 from runlens.sinks.topics import to_messages
 from runlens.sources import events as X
@@ -610,6 +611,40 @@ def parsed_replies(events):
             F.col("parsed.descriptions"), 1)).alias("second"))
 
 
+# --- feature cache -------------------------------------------------------------------------------
+
+def _cached(spark: SparkSession, events: DataFrame) -> str:
+    """A cache that got the snapshots in ten batches, merged on the way."""
+    path, taken = _folder(spark, "cache"), S.snapshots(events, upgrades=False)
+    taken = replay.by_slice(taken.withColumn("upgrade_counts", F.create_map().cast(
+        "map<string,int>")), replay.time_cuts(taken, SLICES))
+    for number in range(SLICES):
+        cache.upsert_latest(taken.filter(F.col("slice") == number), path, f"batch-{number}", 3)
+    return path
+
+
+_CACHED = ("event_id", "run_id", "player_id", "boss_archetype", "encounterId", *NUMERIC_FEATURES)
+
+
+@query
+def cached_features(spark, sf_dir):
+    """Newest snapshot per run, as read back from the cache."""
+    path = _cached(spark, gameplay_events(spark, sf_dir))
+    return shown(cache.read_features(spark, path).select(*_CACHED), total_damage_dealt=2,
+                 total_damage_taken=2, damage_taken_from_elites=2)
+
+
+@query
+def cached_features_of_final_fighters(spark, sf_dir):
+    """The same for the runs that met the final boss, by key, after all batches became one."""
+    events = gameplay_events(spark, sf_dir)
+    path = _cached(spark, events)
+    cache.compact_features(spark, path)
+    keys = S.fights(events).filter("boss_archetype = 'final'")
+    return shown(cache.read_features(spark, path, keys).select(*_CACHED), total_damage_dealt=2,
+                 total_damage_taken=2, damage_taken_from_elites=2)
+
+
 # --- models --------------------------------------------------------------------------------------
 
 @on_events

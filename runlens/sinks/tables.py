@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from runlens import constants as C
-from runlens.operators.training import latest, to_lake
-from runlens.schemas import FEATURE_VECTOR, LAKE, TRAINING
+from runlens.operators.training import to_lake
+from runlens.schemas import LAKE, TRAINING
+from runlens.sinks.cache import compact_features, read_features, upsert_latest  # noqa: F401
 from runlens.sources.tables import read_lake, seed_rows, utc_day
 
 RECORDS_PER_FILE = 1000
-BUCKETS = 256
 
 SEED_BATCH = "seed"
 FULL_BATCH = "full"
@@ -114,53 +114,3 @@ def land_raw(records: DataFrame, path: str, checkpoint: str, interval: str = "60
         .option("maxRecordsPerFile", records_per_file)
         .trigger(**(trigger or {"processingTime": interval})).start()
     )
-
-
-# --- feature cache -------------------------------------------------------------------------------
-
-_CACHE = T.StructType([
-    *FEATURE_VECTOR.fields, T.StructField("player_id", T.StringType()), _ARCHETYPE,
-    T.StructField("timestamp", T.LongType()), T.StructField("event_id", T.LongType()),
-])
-_STORED = T.StructType([*_CACHE.fields, _BATCH, T.StructField("bucket", T.IntegerType())])
-
-
-def upsert_latest(snapshots: DataFrame, path: str, batch: str) -> None:
-    """Store the newest snapshot per run of a batch; readers keep the newest over all batches.
-
-    A keyed folder of `bucket` partitions replaces one file per run. Writing only the batch keeps
-    the cost of an update independent of the size of the cache; `compact_features` merges batches.
-    """
-    rows = latest(snapshots, "run_id", "timestamp", "event_id").withColumns({
-        "outcome": F.lit(-1), "weight": F.lit(1.0), "bucket": bucket(),
-    }).select(*_CACHE.fieldNames(), "bucket")
-    _replace_batch(_by_bucket(rows), batch, ("batch", "bucket")).parquet(path)
-
-
-def _by_bucket(rows: DataFrame) -> DataFrame:
-    """One task per bucket, sorted by run, so that files can be skipped by their run ids."""
-    return rows.repartition("bucket").sortWithinPartitions("bucket", "run_id")
-
-
-def bucket():
-    return F.pmod(F.hash("run_id"), F.lit(BUCKETS)).cast("int")
-
-
-def read_features(spark: SparkSession, path: str, keys: DataFrame | None = None) -> DataFrame:
-    """Newest snapshot per run; `keys` restricts folders and runs before anything is ranked.
-
-    Only the numbers of the buckets that hold keys, 256 at most, come to the driver: they prune
-    the folders to read. The keys themselves are joined.
-    """
-    rows = spark.read.schema(_STORED).parquet(path)
-    if keys is not None:
-        wanted = keys.select("run_id").distinct()
-        used = [row[0] for row in wanted.select(bucket().alias("b")).distinct().collect()]
-        rows = rows.filter(F.col("bucket").isin(used)).join(wanted, "run_id", "left_semi")
-    return latest(rows, "run_id", "timestamp", "event_id").drop("bucket", "batch")
-
-
-def compact_features(spark: SparkSession, path: str, target: str) -> None:
-    """Write the newest snapshot per run of all batches to a new folder."""
-    rows = read_features(spark, path).withColumn("bucket", bucket())
-    _replace_batch(_by_bucket(rows), FULL_BATCH, ("batch", "bucket")).parquet(target)
