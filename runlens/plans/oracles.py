@@ -139,6 +139,26 @@ rec AS (
   FROM f ASOF JOIN snap s ON f.run_id = s.run_id AND f.timestamp >= s.timestamp
 )"""
 
+INGESTED = f"""{G},
+r AS (SELECT event_id, timestamp, event_id % 23 = 0 AS held, event_id % 11 <> 0
+    AND event_id % 13 <> 0 AND event_id % 17 <> 0 AND event_id % 19 <> 0 AS valid FROM g),
+span AS (SELECT min(timestamp) AS low, max(timestamp) AS high FROM r),
+s AS (SELECT r.*, len(list_filter(range(1, 10), lambda k:
+    timestamp >= low + (high - low) * k // 10)) AS slice FROM r, span),
+marks AS (SELECT turn, max(timestamp) - 172800000 AS mark
+  FROM (SELECT unnest(range(1, 11)) AS turn) JOIN s ON NOT held AND valid AND slice < turn
+  GROUP BY turn),
+sent AS (
+  SELECT event_id, timestamp, valid, slice AS turn, false AS again FROM s WHERE NOT held
+  UNION ALL SELECT event_id, timestamp, valid, slice, true FROM s
+    WHERE NOT held AND event_id % 7 = 0
+  UNION ALL SELECT event_id, timestamp, valid, slice + 1, true FROM s
+    WHERE NOT held AND event_id % 5 = 0
+  UNION ALL SELECT event_id, timestamp, valid, 10, false FROM s WHERE held),
+judged AS (SELECT event_id, CASE WHEN NOT valid THEN 'quarantined'
+    WHEN timestamp < mark THEN 'late' WHEN again THEN 'repeated' ELSE 'good' END AS status
+  FROM sent LEFT JOIN marks USING (turn))"""
+
 _SEEDS = ", ".join(
     f"({text(a)}, {text(r)}, {text(e)}, {w}::DOUBLE, {n}, {d}::DOUBLE, {t}::DOUBLE, {x}::DOUBLE, "
     f"{h}::DOUBLE, {o})" for a, r, e, w, n, d, t, x, h, o in C.SEED_ROWS)
@@ -490,6 +510,18 @@ SELECT run_id, round(coalesce(sum(dmg) FILTER (event_type = 'damage_taken_event'
             f"SELECT run_id, {_FIRST_PLAYER} AS player_id FROM g GROUP BY run_id"),
         "run_features": _with(
             FINAL, f"SELECT run_id, player_id, {_FEATURES}, upgrade_counts FROM vectors"),
+        "run_features_delivered_twice": _with(
+            FINAL, f"SELECT run_id, player_id, {_FEATURES}, upgrade_counts FROM vectors"),
+        "ingested_records": _with(INGESTED, """
+SELECT event_id, status, count(*) AS n FROM judged GROUP BY event_id, status"""),
+        "features_of_ingested_events": _with(f"""{INGESTED},
+kept AS (SELECT g.* FROM g JOIN judged USING (event_id)
+  WHERE status = 'good' AND NOT (g.{_TRIGGER} AND (g.arch IS NULL OR g.arch = 'none')))""", """
+SELECT run_id, count(*) FILTER (event_type = 'player_dash_event') AS total_dashes,
+  round(coalesce(sum(dmg) FILTER (event_type = 'player_damage_dealt_event'), 0), 2)
+    AS total_damage_dealt,
+  round(coalesce(sum(dmg) FILTER (event_type = 'damage_taken_event'), 0), 2) AS total_damage_taken
+FROM kept GROUP BY run_id"""),
         "archetypes_seen": _with(fights, "SELECT DISTINCT arch AS boss_archetype FROM f"),
         "record_counts": _with(rec, """
 SELECT boss_archetype, count(*) AS enriched, count(*) FILTER (weight = 1) AS persisted,

@@ -29,7 +29,7 @@ from runlens.sinks.topics import to_messages
 from runlens.sources import events as X
 from runlens.sources import tables as sources
 from runlens.sources.telemetry import gameplay_events, gameplay_records
-from runlens.streaming import asof, replay
+from runlens.streaming import asof, ingest, replay
 from runlens.streaming import profile as P
 from runlens.streaming.jobs import audit_counts, run_bootstrap, start_asof_enrichment
 
@@ -84,14 +84,7 @@ def decoded_events(spark, sf_dir):
 
 @query
 def valid_and_quarantined(spark, sf_dir):
-    """Every kind of bad record, made from the good ones."""
-    records = gameplay_records(spark, sf_dir)
-    at = F.col("event_id")
-    broken = records.withColumn("value", F.when(at % 11 == 0, F.expr("left(value, 20)"))
-                                .when(at % 13 == 0, "").when(at % 17 == 0, "null")
-                                .when(at % 19 == 0, F.replace("value", F.lit("run_id"), F.lit("r")))
-                                .otherwise(F.col("value")))
-    good, bad = X.split_valid(broken, ("event_id",))
+    good, bad = X.split_valid(_broken(gameplay_records(spark, sf_dir)), ("event_id",))
     return union_all(good.select("event_id", F.lit("valid").alias("status")),
                      bad.select("event_id", F.lit("quarantined").alias("status")))
 
@@ -816,10 +809,9 @@ def streamed_fights_with_snapshots(spark, sf_dir):
     def start(**trigger):
         found = asof.asof_stream(fights.watched(), taken.watched(), "0 seconds", idle_ms=None)
         return found.writeStream.format("parquet").option("path", f"{path}/out").option(
-            "checkpointLocation", f"{path}/checkpoint").trigger(
-                **(trigger or {"processingTime": "0 seconds"})).start()
+            "checkpointLocation", f"{path}/checkpoint").trigger(**trigger).start()
 
-    replay.replay(feeds, SLICES, start, restarts=(SLICES // 2,), closing=_after(events))
+    replay.replay(feeds, SLICES, start, closing=_after(events))
     found = asof.matched(spark.read.schema(asof.OUTPUT).parquet(f"{path}/out"))
     return shown(found.select("event_id", "run_id", "boss_archetype", "win", "snapshot_id",
                               "encounterId", *NUMERIC_FEATURES),
@@ -838,7 +830,7 @@ def _enriched(spark: SparkSession, sf_dir: str, slices: int) -> tuple[str, str]:
             fights.watched(), taken.watched(), f"{path}/lake", f"{path}/training", f"{path}/side",
             f"{path}/checkpoint", "0 seconds", idle_ms=None, **trigger)
 
-    replay.replay(feeds, slices, start, restarts=(slices // 2,), closing=_after(events))
+    replay.replay(feeds, slices, start, closing=_after(events))
     return f"{path}/training", f"{path}/side"
 
 
@@ -855,3 +847,62 @@ def audited_enrichment(spark, sf_dir):
     """Counts of the enrichment job, summed over its batches."""
     counts = audit_counts(spark, _enriched(spark, sf_dir, 3)[1])
     return counts.agg(*[F.sum(name).alias(name) for name in AUDIT.fieldNames()])
+
+
+INGEST_DELAY_MS = 2 * DAY_MS
+
+
+def _broken(records: DataFrame) -> DataFrame:
+    """Every kind of bad record, made from the good ones."""
+    at = F.col("event_id")
+    return records.withColumn("value", F.when(at % 11 == 0, F.expr("left(value, 20)"))
+                              .when(at % 13 == 0, "").when(at % 17 == 0, "null")
+                              .when(at % 19 == 0, F.replace("value", F.lit("run_id"), F.lit("r")))
+                              .otherwise(F.col("value")))
+
+
+def _ingested(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of an ingest in turns: some records come twice in a turn, some again in the next, some
+    only after all others."""
+    times = gameplay_events(spark, sf_dir).select("event_id", "timestamp")
+    cuts = replay.even_cuts(times, SLICES)
+    records = _broken(gameplay_records(spark, sf_dir)).join(times, "event_id")
+    records = records.withColumn("slice", replay.slice_number(cuts))
+    at = F.col("event_id")
+    held, rest = records.filter(at % 23 == 0), records.filter(at % 23 != 0)
+    turns = union_all(
+        rest, rest.filter(at % 7 == 0), rest.filter(at % 5 == 0).withColumn(
+            "slice", F.col("slice") + 1), held.withColumn("slice", F.lit(SLICES)))
+    path = _folder(spark, "ingest")
+    fed = replay.Feed(replay.stored(turns), f"{path}/topic")
+
+    def start(**trigger):
+        return ingest.start_ingest(fed.watched().select("event_id", "value"), path,
+                                   f"{path}/checkpoint", INGEST_DELAY_MS, **trigger)
+
+    replay.replay([fed], SLICES + 1, start)
+    return path
+
+
+@query
+def ingested_records(spark, sf_dir):
+    """How often each event was stored with each status."""
+    stored = ingest.read_records(spark, _ingested(spark, sf_dir))
+    return stored.groupBy("event_id", "status").agg(F.count("*").alias("n"))
+
+
+@query
+def features_of_ingested_events(spark, sf_dir):
+    """Dashes and damage of each run, from the stored good events."""
+    events = ingest.read_good(spark, _ingested(spark, sf_dir), streaming=False)
+    return shown(E.damage_sums(events).join(E.dash_count(events), "run_id"),
+                 total_damage_dealt=2, total_damage_taken=2)
+
+
+@query
+def run_features_delivered_twice(spark, sf_dir):
+    """Feature vectors of events of which a third comes twice: the same as without."""
+    records = gameplay_records(spark, sf_dir)
+    good, _ = X.split_valid(union_all(records, records.filter("event_id % 3 = 0")), ("event_id",))
+    return shown(E.feature_vectors(X.flatten_payload(good)), total_damage_dealt=2,
+                 total_damage_taken=2, damage_taken_from_elites=2)

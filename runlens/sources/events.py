@@ -63,32 +63,65 @@ def decode_events(records: DataFrame, schema: T.StructType = ENVELOPE,
     return _parse(records, "value", schema, keep)
 
 
-def split_valid(records: DataFrame, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    """Decoded events, and the raw records that cannot be one.
+_MARKED = T.StructType([*ENVELOPE.fields, T.StructField(CORRUPT, T.StringType())])
 
-    Quarantined: text that is no JSON object, a field of the wrong kind, a payload that is no
-    object, a missing event type, and a missing run id, which no per-run step could place.
-    """
-    marked = T.StructType([*ENVELOPE.fields, T.StructField(CORRUPT, T.StringType())])
-    parsed = _parse(records, "value", marked, tuple(dict.fromkeys((*keep, "value"))),
+
+def _checked(records: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """Parsed records with their text, the envelope's fields, and whether they are an event."""
+    parsed = _parse(records, "value", _MARKED, tuple(dict.fromkeys((*keep, "value"))),
                     columnNameOfCorruptRecord=CORRUPT)
     good = (
         F.col(CORRUPT).isNull() & F.col("event_type").isNotNull() & F.col("run_id").isNotNull()
         & F.coalesce(F.ltrim("payload").startswith("{"), F.lit(True))
     )
-    valid = parsed.filter(good).select(
-        *keep, "event_type", F.coalesce("timestamp", F.lit(0)).cast("long").alias("timestamp"),
-        "player_id", "run_id", "payload")
-    return valid, parsed.filter(~good).select(*keep, "value")
+    return parsed.withColumns({
+        "good": good, "timestamp": F.coalesce("timestamp", F.lit(0)).cast("long")}).drop(CORRUPT)
+
+
+def split_valid(records: DataFrame, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Decoded events, and the raw records that cannot be one.
+
+    Quarantined: text that is no JSON object, a field of the wrong kind, a payload that is no
+    object, a missing event type, and a missing run id, which no per-run step could place.
+    """
+    checked = _checked(records, keep)
+    return (checked.filter("good").select(*keep, *ENVELOPE.fieldNames()),
+            checked.filter("not good").select(*keep, "value"))
 
 
-def flatten_payload(events: DataFrame) -> DataFrame:
+def checked_events(records: DataFrame) -> DataFrame:
+    """All records in one pass: flat events, and beside them the text and whether it is `good`.
+
+    A record without an `event_id` is known by a hash of its text. The payload of an event is kept
+    as a variant, with fields that no column has. Columns of other records are null.
+    """
+    if "event_id" not in records.columns:
+        records = records.withColumn("event_id", F.xxhash64("value"))
+    checked = _checked(records, ("event_id",))
+    payload = F.when(F.col("good"), F.try_parse_json("payload")).alias("payload")
+    flat = _flat(checked.withColumn("text", F.when(F.col("good"), F.col("payload"))), "text",
+                 "value", "good", "payload")
+    names = [name for name in flat.columns if name not in ("event_id", "value", "good", "payload")]
+    return flat.select(
+        "event_id", *[F.when(F.col("good"), F.col(name)).alias(name) for name in names],
+        "value", "good", payload)
+
+
+def flatten_payload(events: DataFrame, once: bool = True) -> DataFrame:
     """Decoded events with one column per payload field and defaults for unreadable values.
 
     A movement, dash or kill whose vector is missing or unreadable has no effect and is dropped.
+    Events delivered again count once; a stream leaves that to the ingest job, which bounds what it
+    remembers, as does `once=False` for events that are known to be different.
     """
     if "event_id" not in events.columns:
         events = events.withColumn("event_id", F.xxhash64(*events.columns))
+    if once and not events.isStreaming:
+        events = delivered_once(events)
+    return usable_vectors(_flat(events, "payload"))
+
+
+def _flat(events: DataFrame, payload: str, *keep: str) -> DataFrame:
     kind = F.col("event_type")
     vector = {C.MOVEMENT: ("dir", "dx", "dy"), C.DASH: ("direction", "dx", "dy"),
               C.KILL: ("velocity", "vx", "vy")}
@@ -102,7 +135,7 @@ def flatten_payload(events: DataFrame) -> DataFrame:
 
     envelope = ("event_id", "timestamp", "event_type", "player_id", "run_id")
     text = F.col
-    flat = _parse(events, "payload", PAYLOAD, envelope).select(
+    return _parse(events, payload, PAYLOAD, (*envelope, *keep)).select(
         *envelope, along(0).alias("x"), along(1).alias("y"),
         P.safe(text("dmg_amount"), "double", 0.0).alias("dmg_amount"),
         P.safe(text("is_elite_source"), "boolean", False).alias("is_elite_source"),
@@ -110,9 +143,8 @@ def flatten_payload(events: DataFrame) -> DataFrame:
         P.safe(text("max_hp"), "double", 1.0).alias("max_hp"),
         P.safe(text("chosen_upgrade_id"), "string", C.DEFAULT_UPGRADE).alias("chosen_upgrade_id"),
         "encounter_id", F.lower("boss_archetype").alias("boss_archetype"),
-        text("win").try_cast("boolean").alias("win"),
+        text("win").try_cast("boolean").alias("win"), *keep,
     )
-    return usable_vectors(flat)
 
 
 def usable_vectors(flat: DataFrame) -> DataFrame:

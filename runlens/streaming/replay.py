@@ -12,7 +12,7 @@ import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -29,17 +29,29 @@ def time_cuts(rows: DataFrame, slices: int, moment: str = "timestamp") -> list[i
     return sorted(set(found or []))
 
 
-def by_slice(rows: DataFrame, cuts: Sequence[int], moment: str = "timestamp") -> DataFrame:
-    """`rows` written once by slice, so that each slice is read alone; column `slice` is added."""
-    spark = rows.sparkSession
+def even_cuts(rows: DataFrame, slices: int, moment: str = "timestamp") -> list[int]:
+    """Times that cut the whole span into slices of equal length."""
+    low, high = rows.agg(F.min(moment), F.max(moment)).first()
+    return [] if low is None else [low + (high - low) * k // slices for k in range(1, slices)]
+
+
+def slice_number(cuts: Sequence[int], moment: str = "timestamp") -> Column:
     number = F.lit(0)
     for cut in cuts:
         number = number + F.coalesce((F.col(moment) >= cut).cast("int"), F.lit(0))
+    return number
+
+
+def stored(rows: DataFrame, moment: str = "timestamp") -> DataFrame:
+    """Rows with a column `slice`, written once so that each slice is read alone."""
+    spark = rows.sparkSession
     path = f"{scratch_dir(spark)}/slices-{uuid.uuid4().hex}"
-    numbered = rows.withColumn(SLICE, number)
-    numbered.repartitionByRange(max(1, len(cuts) + 1), SLICE, moment).write.partitionBy(
-        SLICE).parquet(path)
-    return spark.read.schema(numbered.schema).parquet(path)
+    rows.repartitionByRange(SLICE, moment).write.partitionBy(SLICE).parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+def by_slice(rows: DataFrame, cuts: Sequence[int], moment: str = "timestamp") -> DataFrame:
+    return stored(rows.withColumn(SLICE, slice_number(cuts, moment)), moment)
 
 
 def feed(rows: DataFrame, folder: str) -> None:
@@ -81,36 +93,21 @@ class Feed:
 
 
 def replay(feeds: Sequence[Feed], slices: int, start: Callable[..., StreamingQuery],
-           restarts: Sequence[int] = (), closing: int | None = None) -> int:
-    """Feed slice after slice of all tables to a query, and end it; returns its last batch.
+           closing: int | None = None) -> int:
+    """Feed slice after slice of all tables to a query; returns the number of its last batch.
 
-    `start(**trigger)` begins or resumes the query. It is stopped and begun anew before the turns
-    in `restarts`, and runs a last time to its end, so that timers due by then have fired. With
-    `closing`, a clock row of that time is fed to each table last.
+    In each turn the query resumes from its checkpoint by `start(availableNow=True)`, works on what
+    was fed, and ends: batches hold whole turns, and every turn is a restart. With `closing`, a
+    clock row of that time is fed to each table last, so that timers due by then fire.
     """
-    for fed in feeds:
-        fed.put(-1)  # the folder is there before it is watched
-    query, last = start(), -1
-    try:
-        for turn in range(slices + max(fed.lag for fed in feeds)):
-            if turn in restarts:
-                last = max(last, _last_batch(query))
-                query.stop()
-                query = start()
-            for fed in feeds:
-                if 0 <= turn - fed.lag < slices:
-                    fed.put(turn - fed.lag)
-            query.processAllAvailable()
-        last = max(last, _last_batch(query))
-    finally:
-        query.stop()
-    if closing is not None:
+    last = -1
+    for turn in range(slices + max(fed.lag for fed in feeds) + (closing is not None)):
         for fed in feeds:
-            fed.put_clock(closing)
-    query = start(availableNow=True)
-    finish(query)
-    return max(last, _last_batch(query))
-
-
-def _last_batch(query: StreamingQuery) -> int:
-    return max([progress["batchId"] for progress in query.recentProgress], default=-1)
+            if turn >= slices + fed.lag and closing is not None:
+                fed.put_clock(closing)
+            else:  # before its turn an empty slice, so that the folder is there
+                fed.put(turn - fed.lag)
+        query = start(availableNow=True)
+        finish(query)
+        last = max([last, *[progress["batchId"] for progress in query.recentProgress]])
+    return last
