@@ -43,22 +43,27 @@ def utf8(column: Column | str) -> Column:
 
 
 class Remembered(dict):
-    """Results of `work` by argument, of at most about `most` bytes; beyond, collected anew.
+    """Results of `work` by argument, of at most about `most` bytes.
 
-    Every worker of an executor holds its own, so the bound is one of bytes, not of entries.
+    Every worker of an executor holds its own, so the bound is one of bytes, not of entries. Half of
+    it is for entries of the time before the last half filled up: those met again move over, the
+    others go.
     """
 
     def __init__(self, work: Callable, most: int) -> None:
         super().__init__()
-        self.work, self.most, self.held = work, most, 0
+        self.work, self.most, self.held, self.former = work, most, 0, {}
 
     def __missing__(self, key):
-        value = self.work(key)
+        value = self.former.get(key)
+        if value is None:
+            value = self.work(key)
         self.held += getsizeof(key) + getsizeof(value) + SLOT_BYTES
-        if self.held > self.most:
+        if 2 * self.held > self.most:
+            self.former = dict(self)
             self.clear()
             self.held = getsizeof(key) + getsizeof(value) + SLOT_BYTES
-        if self.held <= self.most:
+        if 2 * self.held <= self.most:
             self[key] = value
         return value
 

@@ -12,6 +12,7 @@ rows without an id keep their null id. An empty table gives no pieces.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -20,7 +21,7 @@ from struct import pack as pack_words
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,20 +33,34 @@ END_ID = 2
 #: Pieces of a group on average: packed by one task, some 65 MB at most with all ids.
 GROUP_PIECES = 4_000
 #: Bytes of words with their ids that a worker remembers.
-REMEMBERED = 80 << 20
+REMEMBERED = 120 << 20
+#: Bytes of texts that are handed back at once.
+BATCH_BYTES = 4 << 20
 _SEED = 20
 _PUNCTUATION = frozenset((b".", b",", b";", b":", b"!", b"?"))
 
-_TOKENS = "struct<n:bigint,crc:array<bigint>,ids:array<int>>"
+#: Latin letters beyond ASCII that may be plain.
+_LATIN = range(0xC0, 0x250)
+
+
+def _printed() -> dict[int, int]:
+    """Characters that byte-level vocabularies print bytes as: themselves, or past U+0100 in turn."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [byte for byte in range(256) if byte not in shown]
+    return {byte: 256 + at for at, byte in enumerate(hidden)}
+
+
+_PRINTED = _printed()
 
 
 class Words:
     """Ids of words between ASCII white space, as the tokenizer gives them.
 
     The tokenizer lower-cases, drops white space, and never merges across it, so a text has the ids
-    of its words in turn, and words recur. A run of ASCII letters goes to the tokenizer's merges as
-    it is; before one mark of punctuation it is a word of its own. Ids are kept as machine words,
-    two bytes each where the vocabulary allows.
+    of its words in turn, and words recur. A run of letters goes to the tokenizer's merges as it is;
+    before one mark of punctuation it is a word of its own. Letters beyond ASCII are those Latin
+    ones of which the tokenizer itself shows, when it is loaded, that their bytes are all it sees.
+    Ids are kept as machine words, two bytes each where the vocabulary allows.
     """
 
     def __init__(self, path: str) -> None:
@@ -57,15 +72,30 @@ class Words:
         self.kind = np.dtype("<u2" if small else "<u4")
         self.code = "<%dH" if small else "<%dI"
         self.ids = Remembered(self._ids, REMEMBERED)
+        letters = "".join(filter(self._is_plain, map(chr, _LATIN)))
+        self.plain = re.compile(f"[a-zA-Z{letters}]+").fullmatch
+
+    def _whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _merged(self, letters: str) -> list[int]:
+        """Ids of a run of letters: the merges know bytes as printed characters."""
+        data = letters.lower().encode().decode("latin-1").translate(_PRINTED)
+        return [token.id for token in self.model.tokenize(data)]
+
+    def _is_plain(self, letter: str) -> bool:
+        return letter.isalpha() and all(
+            self._whole(text) == self._merged(text)
+            for text in (letter, f"a{letter}", f"{letter}{letter}b"))
 
     def _ids(self, word: bytes) -> bytes:
         if word.isalpha():
             ids = [token.id for token in self.model.tokenize(word.lower().decode())]
-        elif word[-1:] in _PUNCTUATION and word[:-1].isalpha():
+        elif word[-1:] in _PUNCTUATION and self.plain(word[:-1].decode("utf-8", "replace")):
             return self.ids[word[:-1]] + self.ids[word[-1:]]
         else:
-            ids = self.tokenizer.encode(
-                word.decode("utf-8", "replace"), add_special_tokens=False).ids
+            text = word.decode("utf-8", "replace")
+            ids = self._merged(text) if self.plain(text) else self._whole(text)
         return pack_words(self.code % len(ids), *ids)
 
     def encode(self, data: bytes) -> np.ndarray:
@@ -82,29 +112,41 @@ def _words(path: str) -> Words:
     return Words(path)
 
 
-def token_pieces(text: Column | str, tokenizer: str, keep_ids: bool) -> Column:
-    """Token count, CRC-32 of each piece, and the ids of whole texts."""
+def tokenised(docs: DataFrame, tokenizer: str, id_col: str, text_col: str,
+              keep_ids: bool) -> DataFrame:
+    """Of whole texts, their id, a random number, token count, CRC-32 of each piece, and ids.
+
+    Texts are handed back in batches of a few megabytes, whatever came in at once.
+    """
 
-    def tokens(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _words(tokenizer)
         for batch in batches:
-            counts, crcs, ids = [], [], []
-            for data in batch:
-                found = words.encode(data.as_py())
+            counts, crcs, ids, held, start = [], [], [], 0, 0
+            for at, data in enumerate(batch.column(2), 1):
+                data = data.as_py()
+                found = words.encode(data)
                 counts.append(len(found))
-                crcs.append([zlib.crc32(found[at:at + SEQUENCE].astype("<u4").tobytes())
-                             for at in range(0, len(found), SEQUENCE)])
+                crcs.append([zlib.crc32(found[i:i + SEQUENCE].astype("<u4"))
+                             for i in range(0, len(found), SEQUENCE)])
                 if keep_ids:
                     ids.append(found.astype(np.int32))
-            values = np.concatenate(ids) if ids else np.empty(0, np.int32)
-            yield pa.StructArray.from_arrays(
-                [pa.array(counts, pa.int64()), pa.array(crcs, pa.list_(pa.int64())),
-                 lists(pa.array(values, pa.int32()),
-                       map(len, ids) if keep_ids else [0] * len(counts))],
-                ["n", "crc", "ids"])
-
-    tokens.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(tokens, _TOKENS)(utf8(text))
+                held += len(data)
+                if held >= BATCH_BYTES or at == batch.num_rows:
+                    values = np.concatenate(ids) if ids else np.empty(0, np.int32)
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).slice(start, at - start),
+                         batch.column(1).slice(start, at - start), pa.array(counts, pa.int64()),
+                         pa.array(crcs, pa.list_(pa.int64())),
+                         lists(pa.array(values), map(len, ids) if keep_ids else [0] * len(counts))],
+                        ["doc_id", "draw", "n", "crc", "ids"])
+                    counts, crcs, ids, held, start = [], [], [], 0, at
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(
+        F.col(f"`{id_col}`").alias("doc_id"), F.rand(_SEED).alias("draw"),
+        utf8(F.col(f"`{text_col}`")).alias("data")).mapInArrow(
+            tokens, f"doc_id {kind}, draw double, n long, crc array<long>, ids array<int>")
 
 
 class Bins:
@@ -147,14 +189,12 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     Columns: the id, start, length, ids (with `keep_ids`), ids_crc32, doc_tokens, sequence_id and
     offset. Other columns of `docs` take no part.
     """
-    tokens = stage(docs.select(
-        F.col(f"`{id_col}`").alias("doc_id"), F.rand(_SEED).alias("draw"),
-        token_pieces(F.col(f"`{text_col}`"), tokenizer, keep_ids).alias("tokens")), "tokens")
-    n = tokens.agg(F.sum(F.size("tokens.crc"))).first()[0] or 0
+    tokens = stage(tokenised(docs, tokenizer, id_col, text_col, keep_ids), "tokens")
+    n = tokens.agg(F.sum(F.size("crc"))).first()[0] or 0
     groups = max(1, ceil(n / group_pieces))
     pieces = tokens.select(
-        "doc_id", "draw", F.col("tokens.n").alias("doc_tokens"), F.posexplode("tokens.crc").alias("at", "ids_crc32"),
-        *([F.col("tokens.ids").alias("ids")] if keep_ids else []))
+        "doc_id", "draw", F.col("n").alias("doc_tokens"), F.posexplode("crc").alias(
+            "at", "ids_crc32"), *(["ids"] if keep_ids else []))
     start = F.col("at").cast("long") * SEQUENCE
     # A document's pieces spread over the groups too: one very long document fills none alone.
     part = F.floor(F.expr("pmod(draw + at * 0.6180339887498949D, 1.0D)") * groups)
