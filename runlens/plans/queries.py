@@ -39,6 +39,7 @@ HOUR_MS = 3_600_000
 DAY_MS = 24 * HOUR_MS
 STALE_MS = 6 * HOUR_MS
 FEW_RUNS = 4
+SLICES = 10
 REGISTRY: dict[str, Query] = {}
 
 
@@ -745,23 +746,49 @@ def clean_comments(spark, sf_dir):
 
 # --- streams -------------------------------------------------------------------------------------
 
+class Replayed:
+    """Tables of one time fed to a stream in slices of the first one's time, and its watermark."""
+
+    def __init__(self, spark: SparkSession, events: DataFrame, *tables: DataFrame,
+                 slices: int = SLICES) -> None:
+        self.slices = slices
+        cuts = replay.time_cuts(tables[0], slices)
+        low, self.high = events.agg(F.min("timestamp"), F.max("timestamp")).first()
+        self.delay_ms = replay.longest(cuts, low, self.high)
+        # Each table comes a slice later than the one before, so the watermark waits for it.
+        self.feeds = [replay.Feed(replay.by_slice(table, cuts), _folder(spark, "fed"), lag)
+                      for lag, table in enumerate(tables)]
+
+    @property
+    def delay(self) -> str:
+        return f"{self.delay_ms} milliseconds"
+
+    def run(self, start: Callable, past: int = 0, **clock) -> None:
+        """All slices with a restart in between, until the watermark is `past` the last event."""
+        replay.replay(self.feeds, self.slices, start, restarts=(self.slices // 2,),
+                      closing=lambda fed: fed.put_clock(self.high + past + self.delay_ms, **clock))
+
+
+def _written(output: DataFrame, path: str, **trigger):
+    """Start a stream that writes its rows to a folder."""
+    return output.writeStream.format("parquet").option("path", f"{path}/out").option(
+        "checkpointLocation", f"{path}/checkpoint").trigger(
+            **(trigger or {"processingTime": "0 seconds"})).start()
+
+
 def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All outputs of the stateful profile run over the whole table as a stream, to its end."""
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    # A glob matches the table as a file and as a folder of part files.
-    source = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
-    events = X.guard_triggers(gameplay_events(spark, sf_dir, source=source))
+    """All outputs of the stateful profile run over the whole table in order of time, to its end."""
+    events = gameplay_events(spark, sf_dir).select(*FLAT_EVENT.fieldNames())
+    replayed = Replayed(spark, events, events)
+    (fed,) = replayed.feeds
     rules = P.Rules(kill_history=4, kill_min=2, stale_ms=STALE_MS, grace_ms=STALE_MS)
     path = _folder(spark, "profile")
-    running = P.profile_stream(events.select(*FLAT_EVENT.fieldNames()), rules, event_time=True,
-                               delay="0 seconds").writeStream.format("parquet").option(
-        "path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(
-            availableNow=True).start()
-    try:
-        if not running.awaitTermination(3600):
-            raise TimeoutError("the profile stream did not end")
-    finally:
-        running.stop()
+
+    def start(**trigger):
+        return _written(P.profile_stream(X.guard_triggers(fed.watched()), rules, event_time=True,
+                                         delay=replayed.delay), path, **trigger)
+
+    replayed.run(start, event_type="none")
     return spark.read.schema(P.OUTPUT).parquet(f"{path}/out")
 
 
@@ -785,33 +812,19 @@ def streamed_predictions(spark, sf_dir):
         "run_id", F.col("timestamp").alias("moment"), "prediction")
 
 
-SLICES = 10
-
-
-def _fed(spark: SparkSession, *tables: DataFrame, slices: int = SLICES) -> list[replay.Feed]:
-    """Tables cut at the quantiles of the first one's time, each a slice later than the one before."""
-    cuts = replay.time_cuts(tables[0], slices)
-    return [replay.Feed(replay.by_slice(table, cuts), _folder(spark, "fed"), lag)
-            for lag, table in enumerate(tables)]
-
-
-def _after(events: DataFrame) -> int:
-    return events.agg(F.max("timestamp")).first()[0] + 1
-
-
 @query
 def streamed_fights_with_snapshots(spark, sf_dir):
     """Fights joined in the stream; snapshots arrive a slice later than the fights of their time."""
     events = gameplay_events(spark, sf_dir)
-    fights, taken = feeds = _fed(spark, S.fights(events), S.snapshots(events))
+    replayed = Replayed(spark, events, S.fights(events), S.snapshots(events))
+    fights, taken = replayed.feeds
     path = _folder(spark, "asof")
 
     def start(**trigger):
-        found = asof.asof_stream(fights.watched(), taken.watched(), "0 seconds", idle_ms=None)
-        return found.writeStream.format("parquet").option("path", f"{path}/out").option(
-            "checkpointLocation", f"{path}/checkpoint").trigger(**trigger).start()
+        return _written(asof.asof_stream(fights.watched(), taken.watched(), replayed.delay,
+                                         idle_ms=None), path, **trigger)
 
-    replay.replay(feeds, SLICES, start, closing=_after(events))
+    replayed.run(start, past=1)
     found = asof.matched(spark.read.schema(asof.OUTPUT).parquet(f"{path}/out"))
     return shown(found.select("event_id", "run_id", "boss_archetype", "win", "snapshot_id",
                               "encounterId", *NUMERIC_FEATURES),
@@ -821,16 +834,17 @@ def streamed_fights_with_snapshots(spark, sf_dir):
 def _enriched(spark: SparkSession, sf_dir: str, slices: int) -> tuple[str, str]:
     """Folders of the training tables and of the counts that the enrichment job has written."""
     events = gameplay_events(spark, sf_dir)
-    fights, taken = feeds = _fed(spark, S.fights(events), S.snapshots(events), slices=slices)
+    replayed = Replayed(spark, events, S.fights(events), S.snapshots(events), slices=slices)
+    fights, taken = replayed.feeds
     path = _folder(spark, "enrichment")
     sinks.ensure_tables(spark, f"{path}/training")
 
     def start(**trigger):
         return start_asof_enrichment(
             fights.watched(), taken.watched(), f"{path}/lake", f"{path}/training", f"{path}/side",
-            f"{path}/checkpoint", "0 seconds", idle_ms=None, **trigger)
+            f"{path}/checkpoint", replayed.delay, idle_ms=None, **trigger)
 
-    replay.replay(feeds, slices, start, closing=_after(events))
+    replayed.run(start, past=1)
     return f"{path}/training", f"{path}/side"
 
 

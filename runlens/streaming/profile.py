@@ -2,14 +2,15 @@
 
 The same rules as the batch windows, event by event: running totals and snapshots, enemy forms with
 staleness, and timed predictions. State per run is bounded by the history lengths and the number of
-different upgrades.
+different upgrades. It is kept in parts, and a micro-batch reads and writes those its events touch:
+totals and timers as one small value, histories as lists, and upgrades as a map by id.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from dataclasses import asdict, dataclass, field
+from dataclasses import astuple, dataclass
 from math import sqrt
 
 from pyspark.sql import DataFrame, Row
@@ -19,10 +20,13 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from runlens import constants as C
 from runlens.functions.payload import encounter_or_new
-from runlens.functions.vectors import dash_direction
+from runlens.functions.vectors import dash_direction, hp_ratio
+from runlens.operators.features import feature_vectors
+from runlens.operators.runs import ORDER, newest
 from runlens.operators.snapshots import TOTALS
 from runlens.schemas import FLAT_EVENT
 from runlens.session import STATE_STORE, STATE_STORE_CONF
+from runlens.sources.events import filter_type, guard_triggers, known_events
 
 SNAPSHOT, TRIGGER, FORM, PREDICTION = "snapshot", "trigger", "form", "prediction"
 
@@ -45,19 +49,15 @@ _OUTPUT_ROW = Row(*OUTPUT.fieldNames())
 
 @dataclass
 class Profile:
-    """State of a run; lists hold the newest value first. Times are milliseconds, 0 for none."""
+    """The small part of a run's state. Times are milliseconds, 0 for none."""
 
     player_id: str | None = None
     total_dashes: int = 0
     total_damage_dealt: float = 0.0
     total_damage_taken: float = 0.0
     damage_taken_from_elites: float = 0.0
-    hp: list = field(default_factory=list)
-    upgrades: dict = field(default_factory=dict)
     vx: float = 0.0
     vy: float = 0.0
-    cosines: list = field(default_factory=list)
-    dashes: list = field(default_factory=list)
     prediction: str = C.NO_PREDICTION
     form: str = C.SKIRMISHER
     first_dash: int = 0
@@ -71,10 +71,8 @@ _TEXT, _LONG, _DOUBLE = T.StringType(), T.LongType(), T.DoubleType()
 STATE = T.StructType([
     T.StructField("player_id", _TEXT), T.StructField("total_dashes", _LONG),
     T.StructField("total_damage_dealt", _DOUBLE), T.StructField("total_damage_taken", _DOUBLE),
-    T.StructField("damage_taken_from_elites", _DOUBLE), T.StructField("hp", T.ArrayType(_DOUBLE)),
-    T.StructField("upgrades", T.MapType(_TEXT, T.IntegerType())),
+    T.StructField("damage_taken_from_elites", _DOUBLE),
     T.StructField("vx", _DOUBLE), T.StructField("vy", _DOUBLE),
-    T.StructField("cosines", T.ArrayType(_DOUBLE)), T.StructField("dashes", T.ArrayType(_TEXT)),
     T.StructField("prediction", _TEXT), T.StructField("form", _TEXT),
     T.StructField("first_dash", _LONG), T.StructField("tick_at", _LONG),
     T.StructField("stale_at", _LONG), T.StructField("ignore_until", _LONG),
@@ -82,6 +80,69 @@ STATE = T.StructType([
 ])
 
 
+class History:
+    """The newest values of one kind, newest first: read when first needed, written if changed."""
+
+    def __init__(self, state) -> None:
+        self.state = state
+        self.begin()
+
+    def begin(self) -> None:
+        """Forget what is known of the run before."""
+        self.held, self.changed = None, False
+
+    def get(self) -> list:
+        if self.held is None:
+            self.held = [row[0] for row in self.state.get()] if self.state.exists() else []
+        return self.held
+
+    def push(self, value, most: int) -> list:
+        self.held, self.changed = [value, *self.get()][:most], True
+        return self.held
+
+    def clear(self) -> None:
+        self.held, self.changed = [], True
+
+    def store(self) -> None:
+        if self.changed and self.held:
+            self.state.put([(value,) for value in self.held])
+        elif self.changed:
+            self.state.clear()
+
+
+class Counts:
+    """Counts by id: an increment reads and writes its own entry alone."""
+
+    def __init__(self, state) -> None:
+        self.state = state
+        self.begin()
+
+    def begin(self) -> None:
+        self.held, self.changed, self.whole = {}, set(), False
+
+    def add(self, key: str, n: int = 1) -> None:
+        if key not in self.held:
+            stored = not self.whole and self.state.containsKey((key,))
+            self.held[key] = self.state.getValue((key,))[0] if stored else 0
+        self.held[key] += n
+        self.changed.add(key)
+
+    def get(self) -> dict[str, int]:
+        if not self.whole:
+            stored = {key[0]: value[0] for key, value in self.state.iterator()} if (
+                self.state.exists()) else {}
+            self.held, self.whole = {**stored, **self.held}, True
+        return self.held
+
+    def clear(self) -> None:
+        self.state.clear()
+        self.held, self.changed, self.whole = {}, set(), True
+
+    def store(self) -> None:
+        for key in self.changed:
+            self.state.updateValue((key,), (self.held[key],))
+
+
 @dataclass(frozen=True)
 class Rules:
     """History lengths and timings."""
@@ -111,6 +172,26 @@ class RunProfile(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("profile", STATE)
+        self.hp, self.cosines = (History(handle.getListState(name, T.StructType([
+            T.StructField("value", _DOUBLE)]))) for name in ("hp", "cosines"))
+        self.dashes = History(handle.getListState(
+            "dashes", T.StructType([T.StructField("value", _TEXT)])))
+        self.upgrades = Counts(handle.getMapState(
+            "upgrades", T.StructType([T.StructField("id", _TEXT)]),
+            T.StructType([T.StructField("n", T.IntegerType())])))
+        self.parts = (self.hp, self.cosines, self.dashes, self.upgrades)
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        """Begin a run with the features of a batch; forms and predictions begin anew."""
+        known = initialState.asDict()
+        for part in self.parts:
+            part.begin()
+        for value in reversed(known.get("hp") or []):
+            self.hp.push(value, self.rules.hp_history)
+        for id_, n in (known.get("upgrade_counts") or {}).items():
+            self.upgrades.add(id_, n)
+        names = [name for name in STATE.fieldNames() if known.get(name) is not None]
+        self._store(Profile(**{name: known[name] for name in names}), set())
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         profile, armed = self._load()
@@ -120,6 +201,8 @@ class RunProfile(StatefulProcessor):
             yield from self._due(key[0], profile, now, inclusive=False)
             if profile.end_at and profile.end_at <= now:
                 profile = Profile()
+                for part in self.parts:
+                    part.clear()
             yield from self._apply(key[0], profile, event, now)
             if self.rules.idle_ms:
                 profile.end_at = now + self.rules.idle_ms
@@ -136,6 +219,9 @@ class RunProfile(StatefulProcessor):
         armed -= {expiredTimerInfo.getExpiryTimeInMs()}
         if profile.end_at and profile.end_at <= now:
             self.state.clear()
+            for part in self.parts:
+                part.clear()
+                part.store()
             for moment in armed:
                 self.handle.deleteTimer(moment)
         else:
@@ -144,13 +230,11 @@ class RunProfile(StatefulProcessor):
     # --- state and timers ---
 
     def _load(self) -> tuple[Profile, set[int]]:
+        for part in self.parts:
+            part.begin()
         if not self.state.exists():
             return Profile(), set()
-        values = list(self.state.get())
-        names = STATE.fieldNames()
-        profile = Profile(**dict(zip(names, values)))
-        profile.hp, profile.cosines = list(profile.hp), list(profile.cosines)
-        profile.dashes, profile.upgrades = list(profile.dashes), dict(profile.upgrades)
+        profile = Profile(**dict(zip(STATE.fieldNames(), self.state.get())))
         return profile, self._wanted(profile)
 
     @staticmethod
@@ -158,7 +242,9 @@ class RunProfile(StatefulProcessor):
         return {profile.tick_at, profile.stale_at, profile.end_at} - {0}
 
     def _store(self, profile: Profile, armed: set[int]) -> None:
-        self.state.update(tuple(asdict(profile)[name] for name in STATE.fieldNames()))
+        self.state.update(astuple(profile))
+        for part in self.parts:
+            part.store()
         wanted = self._wanted(profile)
         for moment in armed - wanted:
             self.handle.deleteTimer(moment)
@@ -175,7 +261,8 @@ class RunProfile(StatefulProcessor):
         if p.tick_at and (p.tick_at < now or inclusive and p.tick_at == now):
             at, p.tick_at = p.tick_at, 0
             # Of the most frequent directions the first in the list is the most recent one.
-            newest = max(p.dashes, key=p.dashes.count)
+            dashes = self.dashes.get()
+            newest = max(dashes, key=dashes.count)
             if newest != p.prediction:
                 p.prediction = newest
                 yield self._row(PREDICTION, run_id, p, at, label=newest)
@@ -194,7 +281,7 @@ class RunProfile(StatefulProcessor):
             p.vx, p.vy = e.x, e.y
         elif kind == C.DASH:
             p.total_dashes += 1
-            p.dashes = [e.direction, *p.dashes][:self.rules.dash_history]
+            self.dashes.push(e.direction, self.rules.dash_history)
             p.first_dash = p.first_dash or now
             if not p.tick_at:
                 ticks = max(1, -((p.first_dash - now) // self.rules.tick_ms))
@@ -208,9 +295,10 @@ class RunProfile(StatefulProcessor):
             if e.is_elite_source:
                 p.damage_taken_from_elites += e.dmg_amount
         elif kind == C.STATUS and e.max_hp > 0:
-            p.hp = [e.hp / e.max_hp, *p.hp][:self.rules.hp_history]
+            self.hp.push(e.hp / e.max_hp, self.rules.hp_history)
         elif kind == C.UPGRADE:
-            p.upgrades[e.chosen_upgrade_id] = p.upgrades.get(e.chosen_upgrade_id, 0) + 1
+            if e.chosen_upgrade_id is not None:
+                self.upgrades.add(e.chosen_upgrade_id)
         elif kind in C.TRIGGER_EVENTS:
             yield self._row(SNAPSHOT, run_id, p, e.timestamp, e)
             if kind == C.ENCOUNTER:
@@ -222,13 +310,14 @@ class RunProfile(StatefulProcessor):
         own, other = sqrt(p.vx * p.vx + p.vy * p.vy), sqrt(e.x * e.x + e.y * e.y)
         if own > 0 and other > 0:
             cosine = (p.vx / own) * (e.x / other) + (p.vy / own) * (e.y / other)
-            p.cosines = [cosine, *p.cosines][:self.rules.kill_history]
-        if len(p.cosines) < self.rules.kill_min:
+            self.cosines.push(cosine, self.rules.kill_history)
+        cosines = self.cosines.get()
+        if len(cosines) < self.rules.kill_min:
             return
         total = 0.0
-        for cosine in p.cosines:
+        for cosine in cosines:
             total += cosine
-        mean = total / len(p.cosines)
+        mean = total / len(cosines)
         form = (C.JUGGERNAUT if mean < C.JUGGERNAUT_BELOW else C.SKIRMISHER
                 if mean > C.SKIRMISHER_ABOVE else _opposite(p.form))
         if form != p.form:
@@ -240,26 +329,44 @@ class RunProfile(StatefulProcessor):
 
     def _row(self, out: str, run_id: str, p: Profile, at: int, e: Row | None = None,
              label: str | None = None) -> Row:
-        hp = sum(p.hp) / len(p.hp) if p.hp else 1.0
+        hp = upgrades = None
+        if out == SNAPSHOT:
+            readings = self.hp.get()
+            hp = sum(readings) / len(readings) if readings else 1.0
+            upgrades = json.dumps(self.upgrades.get(), sort_keys=True)
         return _OUTPUT_ROW(
             out, run_id, p.player_id, at, e and e.event_id,
             label or e.boss_archetype, e and e.encounter_id, p.total_dashes,
             p.total_damage_dealt, p.total_damage_taken, p.damage_taken_from_elites, hp,
-            json.dumps(p.upgrades, sort_keys=True))
+            upgrades)
 
 
 def _opposite(form: str) -> str:
     return C.SKIRMISHER if form == C.JUGGERNAUT else C.JUGGERNAUT
 
 
+def initial_profiles(events: DataFrame, last_n: int = C.HP_HISTORY) -> DataFrame:
+    """State of each run after past `events`, for a stream that goes on from there."""
+    readings = newest(filter_type(known_events(events), C.STATUS).withColumn(
+        "value", hp_ratio(F.col("hp"), F.col("max_hp"))).filter("value is not null"),
+        ["run_id"], ORDER, last_n)
+    hp = readings.groupBy("run_id").agg(F.reverse(F.array_sort(F.collect_list(F.struct(
+        *ORDER, "value")))).alias("rows")).select("run_id", F.col("rows.value").alias("hp"))
+    known = feature_vectors(guard_triggers(events)).select(
+        "run_id", "player_id", *TOTALS, "upgrade_counts")
+    return known.join(hp, "run_id", "left")
+
+
 def profile_stream(events: DataFrame, rules: Rules = Rules(), event_time: bool = False,
-                   delay: str = "10 seconds") -> DataFrame:
+                   delay: str = "10 seconds", initial: DataFrame | None = None) -> DataFrame:
     """Outputs of all runs in one stream; column `out` tells them apart.
 
     `events` are flat, with unusable triggers dropped (`guard_triggers`). By default the clock is
     processing time and there is no watermark. With `event_time` a watermark of `delay` drives the
     timers, and events later than it are dropped: choose a delay that covers the source. State is
     kept until `rules.idle_ms` after the last event of a run, for good without it.
+    With `initial`, made by `initial_profiles`, runs go on from the totals, readings and upgrades of
+    earlier events. Events are taken to be delivered once: the ingest job sees to that.
     A micro-batch of one run is sorted in memory, so cap the trigger at the source
     (`maxOffsetsPerTrigger`, `maxFilesPerTrigger`).
     """
@@ -279,7 +386,8 @@ def profile_stream(events: DataFrame, rules: Rules = Rules(), event_time: bool =
             "event_time", delay)
     return rows.groupBy("run_id").transformWithState(
         RunProfile(rules, event_time), OUTPUT, "Append",
-        "EventTime" if event_time else "ProcessingTime")
+        "EventTime" if event_time else "ProcessingTime",
+        initialState=None if initial is None else initial.groupBy("run_id"))
 
 
 def snapshots_of(output: DataFrame) -> DataFrame:

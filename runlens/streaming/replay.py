@@ -84,30 +84,60 @@ class Feed:
     def put(self, number: int) -> None:
         feed(self.rows.filter(F.col(SLICE) == number).drop(SLICE), self.folder)
 
-    def put_clock(self, moment: int) -> None:
+    def put_clock(self, moment: int, **values) -> None:
         """A row without a run and an event, which moves the watermark and nothing else."""
         rows = self.rows.drop(SLICE)
-        clock = self.rows.sparkSession.createDataFrame(
-            [tuple(moment if name == "timestamp" else None for name in rows.columns)], rows.schema)
-        feed(clock, self.folder)
+        values["timestamp"] = moment
+        feed(self.rows.sparkSession.createDataFrame(
+            [tuple(values.get(name) for name in rows.columns)], rows.schema), self.folder)
+
+
+def longest(cuts: Sequence[int], low: int, high: int) -> int:
+    """Length of the longest slice: a delay that keeps all rows of a slice on time."""
+    ends = [low, *cuts, high]
+    return max(b - a for a, b in zip(ends, ends[1:])) + 1
 
 
 def replay(feeds: Sequence[Feed], slices: int, start: Callable[..., StreamingQuery],
-           closing: int | None = None) -> int:
+           restarts: Sequence[int] | None = None, closing: Callable[[Feed], None] | None = None,
+           ) -> int:
     """Feed slice after slice of all tables to a query; returns the number of its last batch.
 
-    In each turn the query resumes from its checkpoint by `start(availableNow=True)`, works on what
-    was fed, and ends: batches hold whole turns, and every turn is a restart. With `closing`, a
-    clock row of that time is fed to each table last, so that timers due by then fire.
+    `start(**trigger)` begins the query or resumes it from its checkpoint. Without `restarts` each
+    turn is a run of its own, which works on all that was fed and ends. With `restarts` the query
+    goes on through all turns, and is only stopped and resumed before those: cheaper where planning
+    is dear, but a batch may then hold a part of a turn. Last, `closing` puts a clock row into each
+    feed, and the query runs to its end, so that timers due by then fire.
     """
-    last = -1
-    for turn in range(slices + max(fed.lag for fed in feeds) + (closing is not None)):
-        for fed in feeds:
-            if turn >= slices + fed.lag and closing is not None:
-                fed.put_clock(closing)
-            else:  # before its turn an empty slice, so that the folder is there
-                fed.put(turn - fed.lag)
+    turns, last, query = slices + max(fed.lag for fed in feeds), -1, None
+    try:
+        for turn in range(turns):
+            for fed in feeds:
+                fed.put(turn - fed.lag)  # before its turn an empty slice: the folder is there
+            if restarts is None or (turn in restarts and query):
+                last = max(last, _ended(query))
+                query = None
+            if query is None:
+                query = start(**({"availableNow": True} if restarts is None else {}))
+            if restarts is None:
+                finish(query)
+            else:
+                query.processAllAvailable()
+        last = max(last, _ended(query))
+    finally:
+        _ended(query)
+    if closing is not None or restarts is not None:
+        for fed in feeds if closing is not None else ():
+            closing(fed)
         query = start(availableNow=True)
         finish(query)
-        last = max([last, *[progress["batchId"] for progress in query.recentProgress]])
+        last = max(last, _ended(query))
     return last
+
+
+def _ended(query: StreamingQuery | None) -> int:
+    """Stop a query; its last batch."""
+    if query is None:
+        return -1
+    query.stop()
+    return max([progress["batchId"] for progress in query.recentProgress], default=-1)
