@@ -188,7 +188,8 @@ class RunProfile(StatefulProcessor):
             part.begin()
         for value in reversed(known.get("hp") or []):
             self.hp.push(value, self.rules.hp_history)
-        for id_, n in (known.get("upgrade_counts") or {}).items():
+        # A map comes as a list of its entries.
+        for id_, n in dict(known.get("upgrade_counts") or {}).items():
             self.upgrades.add(id_, n)
         names = [name for name in STATE.fieldNames() if known.get(name) is not None]
         self._store(Profile(**{name: known[name] for name in names}), set())
