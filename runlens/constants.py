@@ -70,8 +70,6 @@ PREDICTIONS_TOPIC = "vexer_prediction_updates"
 RESULTS_TOPIC = "seer_results"
 
 # --- fixed values: model and offers ---------------------------------------------------------------
-MAX_ITERATIONS = 10
-MIN_PROGRESS = 0.01
 CONFIDENCE_SCALING = 1.5
 DEFAULT_CONFIDENCE = 0.5
 DEFAULT_FEATURE = "default"

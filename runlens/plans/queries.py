@@ -697,7 +697,7 @@ def fit_optimality(events):
                 F.log(F.greatest(1 - F.col("base"), F.lit(1e-12))))
     return figures.select("boss_archetype", F.explode("slopes").alias("s"), (
         F.col("loss") <= at_base + 1e-9).alias("better")).select(
-        "boss_archetype", "s.feature", (F.abs("s.slope") < 0.01).alias("flat"), "better")
+        "boss_archetype", "s.feature", (F.abs("s.slope") < 1e-6).alias("flat"), "better")
 
 
 @on_events
