@@ -42,6 +42,8 @@ BLOCK = 4096
 COLUMN = 64
 #: Bits of a machine word that fields may take; the sign stays clear.
 WORD_BITS = 63
+#: Columns that few blocks are still spread over, for the tasks' sake.
+SPREAD = 64
 #: Anchors scored at once against a block of candidates.
 AT_ONCE = 256
 
@@ -264,7 +266,8 @@ def hard_negatives(vectors: DataFrame, is_anchor: Column, label: Column, unit: f
 
     counts = rows.agg(F.count("*").alias("n"), F.count_if("asks").alias("anchors")).first()
     blocks = max(1, ceil(counts["n"] / block))
-    columns, groups = max(1, ceil(blocks / column)), max(1, ceil(counts["anchors"] / block))
+    columns = max(ceil(blocks / column), min(blocks, SPREAD))
+    groups = max(1, ceil(counts["anchors"] / block))
     held = stage(_blocks(rows, blocks, "id", "label", "vec").select(
         "dim", F.pmod("block", F.lit(columns)).alias("column"), F.col("rows").alias("held")),
         "held").withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
