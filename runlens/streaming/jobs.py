@@ -13,8 +13,8 @@ from runlens import constants as C
 from runlens.models import offers as O
 from runlens.models import outcome as M
 from runlens.operators import training as R
-from runlens.sinks import tables
-from runlens.sinks.topics import to_messages, write_topic
+from runlens.sinks import outbox, tables
+from runlens.sinks.topics import to_messages, write_topic, write_topics
 from runlens.sources.events import decode_events, filter_type
 from runlens.sources.tables import read_lake
 from runlens.schemas import (
@@ -50,22 +50,31 @@ def start_profile(events: DataFrame, cache: str, checkpoint: str,
                   **trigger) -> StreamingQuery:
     """Profile all runs; store snapshots, then send triggers, forms and predictions.
 
-    Snapshots are written before the triggers that refer to them.
+    Snapshots are seen no later than the triggers that refer to them. Messages in folders are
+    committed together per batch (`sinks.outbox`); a Kafka topic has no such commit, and gets the
+    messages of all topics by one write.
     """
     options = topic_options or {}
-    folder = topic_format != "kafka"
 
     def work(output: DataFrame, batch: str) -> None:
         output.persist()
-        try:
-            sink = {**options, **({"batch": batch} if folder else {})}
+        messages = {
+            C.TRIGGERS_TOPIC: to_messages(P.triggers_of(output), C.TRIGGERS_TOPIC),
+            C.PARAMS_TOPIC: to_messages(P.forms_of(output), C.FORM_MESSAGE),
+            C.PREDICTIONS_TOPIC: to_messages(P.predictions_of(output), C.PREDICTION_MESSAGE),
+        }
+
+        def store() -> None:
             tables.upsert_latest(P.snapshots_of(output), cache, batch)
-            write_topic(to_messages(P.triggers_of(output), C.TRIGGERS_TOPIC), C.TRIGGERS_TOPIC,
-                        topic_format, **sink)
-            write_topic(to_messages(P.forms_of(output), C.FORM_MESSAGE), C.PARAMS_TOPIC,
-                        topic_format, **sink)
-            write_topic(to_messages(P.predictions_of(output), C.PREDICTION_MESSAGE),
-                        C.PREDICTIONS_TOPIC, topic_format, **sink)
+
+        try:
+            if topic_format == "kafka":
+                store()
+                write_topics(messages, **options)
+            else:
+                settings = {**options}
+                outbox.commit(settings.pop("path"), batch, messages, topic_format, store,
+                              **settings)
         finally:
             output.unpersist()
 
