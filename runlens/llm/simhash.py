@@ -1,13 +1,16 @@
 """SimHash near-duplicates by multi-index hashing.
 
 A fingerprint's bit is set if it is set in more than half of the hashes of the text's shingles.
-Fingerprints within `max_bits` bits are found without comparing pairs: every fingerprint looks into
-the table under all values that differ from it within a small Hamming ball, enumerated segment by
-segment. Two fingerprints within the bound have a value half-way between them, so they meet in its
-entry. An entry holds no more fingerprints than a ball has points (65 for two bits), so even in a
-large group of near copies nothing grows with the square of the group. In each entry fingerprints
-are linked to the nearest one, after the complete distance was verified; components of the links
-are the groups.
+Fingerprints are cut into segments, and a table knows each under the value of every segment. Of two
+fingerprints within `max_bits` bits, one segment differs in at most `max_bits // segments` bits; so
+each fingerprint looks into the table under all values in the small Hamming ball around each of its
+segments, fetches what is there, and the complete distance decides. Components of the links are the
+groups.
+
+A segment value that more than `CROWDED` different fingerprints share, as in a huge group of near
+copies, would be fetched by as many: the square of their number. Fingerprints that look there are
+linked in another exact way: each is entered under all values half-way to a neighbour, of which an
+entry never holds more than a ball has points, and is linked to the nearest in its entry.
 
 A null or empty text, or one of white space only, has the fingerprint zero, linked like any other.
 Equal fingerprints are one node, so copies cost nothing. Rows without an id take part and never name
@@ -31,7 +34,10 @@ from runlens.session import stage
 
 SHINGLE = 3
 MAX_BITS = 2
-SEGMENTS = 4
+#: Segments of a fingerprint. Two of 32 bits: a random value is shared by few in any corpus.
+SEGMENTS = 2
+#: Different fingerprints that may share a segment's value and still be fetched one by one.
+CROWDED = 1000
 SEED = 42
 _BITS = 64
 _AT_ONCE = 1 << 15
@@ -68,29 +74,73 @@ def fingerprint(text: Column | str, shingle: int = SHINGLE) -> Column:
     return F.arrow_udf(prints, "bigint")(utf8(text))
 
 
-def balls(radius: int, segments: int = SEGMENTS) -> list[int]:
-    """Signed masks of all points within `radius` bits, segment after segment.
+def segment_bounds(segments: int) -> list[tuple[int, int]]:
+    """First bit and width of each segment."""
+    ends = [_BITS * at // segments for at in range(segments + 1)]
+    return [(a, b - a) for a, b in zip(ends, ends[1:])]
 
-    Within each segment its own small ball is enumerated; a mask joins one point of each.
-    """
-    width = _BITS // segments
-    masks = [(0, 0)]
-    for first in range(0, _BITS, width):
-        own = [(sum(1 << first + bit for bit in bits), n) for n in range(radius + 1)
-               for bits in combinations(range(width), n)]
-        masks = [(a | b, n + m) for a, n in masks for b, m in own if n + m <= radius]
-    return [mask - (1 << _BITS) if mask >> _BITS - 1 else mask for mask, _ in masks]
+
+def ball(width: int, radius: int) -> list[int]:
+    """Masks of all points of `width` bits within `radius` bits, as signed longs."""
+    masks = [sum(1 << bit for bit in bits) for n in range(radius + 1)
+             for bits in combinations(range(width), n)]
+    return [mask - (1 << _BITS) if mask >> _BITS - 1 else mask for mask in masks]
+
+
+def _segment_values(segments: int, radius: int) -> Column:
+    """Array of (segment, value): all values within `radius` bits of each segment's own."""
+    def values(at: int, first: int, width: int) -> Column:
+        own = F.shiftrightunsigned("fp", first)
+        if first + width < _BITS:
+            own = own.bitwiseAND(F.lit((1 << width) - 1))
+        masks = F.array(*[F.lit(mask).cast("long") for mask in ball(width, radius)])
+        return F.transform(masks, lambda mask: F.struct(
+            F.lit(at).alias("segment"), own.bitwiseXOR(mask).alias("value")))
+
+    return F.concat(*[values(at, *bounds) for at, bounds in enumerate(segment_bounds(segments))])
+
+
+def segment_table(prints: DataFrame, segments: int = SEGMENTS, radius: int = 0) -> DataFrame:
+    """(segment, value, fp): the index itself, or with a radius all that is looked up in it."""
+    return prints.select("fp", F.explode(_segment_values(segments, radius)).alias("at")).select(
+        "at.segment", "at.value", "fp")
+
+
+def distance(u: str, v: str) -> Column:
+    return F.bit_count(F.col(u).bitwiseXOR(F.col(v)))
 
 
-def near_links(prints: DataFrame, max_bits: int = MAX_BITS, segments: int = SEGMENTS) -> DataFrame:
+def near_links(prints: DataFrame, max_bits: int = MAX_BITS, segments: int = SEGMENTS,
+               crowded: int = CROWDED) -> DataFrame:
     """Links (u, v) that connect all of the distinct fingerprints `fp` within `max_bits` bits."""
-    masks = F.array(*[F.lit(mask).cast("long") for mask in balls((max_bits + 1) // 2, segments)])
+    index = segment_table(prints, segments)
+    probes = segment_table(prints, segments, max_bits // segments)
+    key = ["segment", "value"]
+    full = stage(index.groupBy(*key).count().filter(F.col("count") > crowded).select(*key), "full")
+    if full.isEmpty():
+        return _verified(probes, index, max_bits)
+    there = probes.join(full, key, "left_semi").select("fp").distinct()
+    return _verified(probes, index.join(full, key, "left_anti"), max_bits).unionByName(
+        half_way_links(there, max_bits)).distinct()
+
+
+def _verified(probes: DataFrame, index: DataFrame, max_bits: int) -> DataFrame:
+    """Fetched pairs whose complete distance is within the bound."""
+    met = probes.withColumnRenamed("fp", "u").join(
+        index.withColumnRenamed("fp", "v"), ["segment", "value"])
+    return met.filter((F.col("u") < F.col("v")) & (distance("u", "v") <= max_bits)).select(
+        "u", "v").distinct()
+
+
+def half_way_links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """The same for fingerprints that crowd together, by links that only chain them."""
+    masks = F.array(*[F.lit(mask).cast("long") for mask in ball(_BITS, (max_bits + 1) // 2)])
     table = prints.select("fp", F.explode(masks).alias("mask")).select(
         "fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("entry"),
         F.bit_count("mask").alias("far"))
     nearest = F.first("fp").over(Window.partitionBy("entry").orderBy("far", "fp"))
     met = table.select(F.col("fp").alias("u"), nearest.alias("v")).filter("u != v")
-    return met.filter(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= max_bits).distinct()
+    return met.filter(distance("u", "v") <= max_bits).distinct()
 
 
 def groups(prints: DataFrame, max_bits: int = MAX_BITS, segments: int = SEGMENTS) -> DataFrame:
