@@ -65,8 +65,12 @@ def counts_map(entries: Column) -> Column:
 
 
 def upgrade_counts(events: DataFrame) -> DataFrame:
-    """Upgrade counts of each run that chose any; one map entry per different upgrade."""
-    counted = filter_type(events, C.UPGRADE).groupBy("run_id", "chosen_upgrade_id").agg(
+    """Upgrade counts of each run that chose any; one map entry per different upgrade.
+
+    A choice without an upgrade counts nowhere, in the stream neither.
+    """
+    chosen = filter_type(events, C.UPGRADE).filter(F.col("chosen_upgrade_id").isNotNull())
+    counted = chosen.groupBy("run_id", "chosen_upgrade_id").agg(
         F.count("*").cast("int").alias("n"))
     return counted.groupBy("run_id").agg(counts_map(
         F.collect_list(F.struct("chosen_upgrade_id", "n"))).alias("upgrade_counts"))

@@ -141,16 +141,16 @@ def large_keys(rows: DataFrame, by: tuple[str, ...] = ("run_id",),
                ) -> tuple[DataFrame, int] | None:
     """Keys with more rows than one task should take, and the number of chunks they need.
 
-    One pass: a partial count per key. Large keys stay a table; only the sum of their rows reaches
-    the driver, and adaptive execution broadcasts them where their measured size is small.
+    One pass: a partial count per key. Only the sum of the large keys' rows reaches the driver. The
+    keys stay a table, written when there are any; adaptive execution broadcasts it where its
+    measured size is small.
     """
     limit = max_rows_per_run(rows)
-    counts = rows.groupBy(*by).count()
-    large = stage(counts.filter(F.col("count") > limit), "large")
+    large = rows.groupBy(*by).count().filter(F.col("count") > limit)
     total = large.agg(F.sum("count")).first()[0]
     if total is None:
         return None
-    return large.select(*by), 1 + total // max(1, limit // 2)
+    return stage(large.select(*by), "large"), 1 + total // max(1, limit // 2)
 
 
 def by_run(

@@ -122,12 +122,13 @@ def fights(events: DataFrame) -> DataFrame:
     return with_archetype(filter_type(events, *C.FIGHT_EVENTS)).select(*FIGHT_COLUMNS)
 
 
-def asof_features(outcomes: DataFrame, taken: DataFrame) -> DataFrame:
+def asof_features(outcomes: DataFrame, taken: DataFrame, checked: bool = False) -> DataFrame:
     """Fights with the newest snapshot of their run taken at or before them.
 
     Both sides become one ordered stream per run, so no pair of rows is ever compared. At equal
     times an elite fight has its own snapshot, a boss fight that of the largest event id. Fights
-    without an earlier snapshot are left out.
+    without an earlier snapshot are left out. `checked` says that the caller has found no large run
+    in the rows that both sides come from, which spares computing the snapshots to count them.
     """
     fields = [name for name in taken.columns if name not in ("run_id", "timestamp")]
     shots = taken.select(
@@ -148,7 +149,8 @@ def asof_features(outcomes: DataFrame, taken: DataFrame) -> DataFrame:
             "run_id", *ORDER, *fight_fields, F.col("snapshot.event_id").alias("snapshot_id"),
             *[F.col(f"snapshot.{name}") for name in fields if name not in clashes])
 
-    return by_run(sought.unionByName(shots, allowMissingColumns=True), work, order_by=order_by)
+    return by_run(sought.unionByName(shots, allowMissingColumns=True), work, order_by=order_by,
+                  checked=checked)
 
 
 def unmatched_fights(events: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from runlens.operators import adaptation as A
 from runlens.operators import features as E
 from runlens.operators import snapshots as S
 from runlens.operators import training as R
-from runlens.operators.runs import ORDER, newest, union_all
+from runlens.operators.runs import ORDER, large_keys, newest, union_all
 from runlens.schemas import AUDIT, ENVELOPE, FLAT_EVENT, NUMERIC_FEATURES
 from runlens.session import scratch_dir, stage
 from runlens.sinks import cache
@@ -156,7 +156,8 @@ def record_lake(spark, sf_dir):
 @query
 def seeded_lake(spark, sf_dir):
     """Boss records with the seed rows that are not among them yet."""
-    records = R.to_lake(R.split_type(R.training_records(gameplay_events(spark, sf_dir)))[1])
+    records = stage(R.to_lake(R.split_type(R.training_records(
+        gameplay_events(spark, sf_dir)))[1]), "records")
     seeds = sources.seed_rows(spark)
     once = union_all(records, sinks.new_seeds(records, seeds))
     twice = union_all(once, sinks.new_seeds(once, seeds))
@@ -263,7 +264,10 @@ def fights_with_final_features(events):
 
 @on_events
 def fights_with_snapshots(events):
-    found = S.asof_features(S.fights(events), S.snapshots(events, upgrades=False))
+    met = union_all(X.filter_type(events, *C.TRIGGER_EVENTS).select("run_id"),
+                    X.filter_type(events, *C.FIGHT_EVENTS).select("run_id"))
+    found = S.asof_features(S.fights(events), S.snapshots(events, upgrades=False),
+                            checked=large_keys(met) is None)
     return shown(found.select("event_id", "run_id", "boss_archetype", "win", "snapshot_id",
                               "encounterId", *NUMERIC_FEATURES),
                  total_damage_dealt=2, total_damage_taken=2, damage_taken_from_elites=2)

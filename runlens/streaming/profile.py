@@ -20,13 +20,13 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from runlens import constants as C
 from runlens.functions.payload import encounter_or_new
-from runlens.functions.vectors import dash_direction, hp_ratio
-from runlens.operators.features import feature_vectors
+from runlens.functions.vectors import dash_direction
+from runlens.operators.features import feature_vectors, hp_readings
 from runlens.operators.runs import ORDER, newest
 from runlens.operators.snapshots import TOTALS
 from runlens.schemas import FLAT_EVENT
 from runlens.session import STATE_STORE, STATE_STORE_CONF
-from runlens.sources.events import filter_type, guard_triggers, known_events
+from runlens.sources.events import guard_triggers
 
 SNAPSHOT, TRIGGER, FORM, PREDICTION = "snapshot", "trigger", "form", "prediction"
 
@@ -348,11 +348,9 @@ def _opposite(form: str) -> str:
 
 def initial_profiles(events: DataFrame, last_n: int = C.HP_HISTORY) -> DataFrame:
     """State of each run after past `events`, for a stream that goes on from there."""
-    readings = newest(filter_type(known_events(events), C.STATUS).withColumn(
-        "value", hp_ratio(F.col("hp"), F.col("max_hp"))).filter("value is not null"),
-        ["run_id"], ORDER, last_n)
-    hp = readings.groupBy("run_id").agg(F.reverse(F.array_sort(F.collect_list(F.struct(
-        *ORDER, "value")))).alias("rows")).select("run_id", F.col("rows.value").alias("hp"))
+    hp = newest(hp_readings(events), ["run_id"], ORDER, last_n).groupBy("run_id").agg(
+        F.reverse(F.array_sort(F.collect_list(F.struct(*ORDER, "hp_ratio")))).alias("rows")
+    ).select("run_id", F.col("rows.hp_ratio").alias("hp"))
     known = feature_vectors(guard_triggers(events)).select(
         "run_id", "player_id", *TOTALS, "upgrade_counts")
     return known.join(hp, "run_id", "left")
