@@ -63,7 +63,7 @@ class Words:
     Ids are kept as machine words, two bytes each where the vocabulary allows.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, remembered: int = REMEMBERED) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -71,7 +71,7 @@ class Words:
         small = self.tokenizer.get_vocab_size() <= 1 << 16
         self.kind = np.dtype("<u2" if small else "<u4")
         self.code = "<%dH" if small else "<%dI"
-        self.ids = Remembered(self._ids, REMEMBERED)
+        self.ids = Remembered(self._ids, remembered)
         letters = "".join(filter(self._is_plain, map(chr, _LATIN)))
         self.plain = re.compile(f"[a-zA-Z{letters}]+").fullmatch
 
@@ -108,19 +108,19 @@ class Words:
 
 
 @lru_cache(1)
-def _words(path: str) -> Words:
-    return Words(path)
+def _words(path: str, remembered: int) -> Words:
+    return Words(path, remembered)
 
 
 def tokenised(docs: DataFrame, tokenizer: str, id_col: str, text_col: str,
-              keep_ids: bool) -> DataFrame:
+              keep_ids: bool, remembered: int = REMEMBERED) -> DataFrame:
     """Of whole texts, their id, a random number, token count, CRC-32 of each piece, and ids.
 
     Texts are handed back in batches of a few megabytes, whatever came in at once.
     """
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _words(tokenizer)
+        words = _words(tokenizer, remembered)
         for batch in batches:
             counts, crcs, ids, held, start = [], [], [], 0, 0
             for at, data in enumerate(batch.column(2), 1):
@@ -183,13 +183,16 @@ def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray,
 
 
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text",
-         keep_ids: bool = True, group_pieces: int = GROUP_PIECES) -> DataFrame:
+         keep_ids: bool = True, group_pieces: int = GROUP_PIECES,
+         remembered: int = REMEMBERED) -> DataFrame:
     """Pieces of all documents with their place in sequences of at most `SEQUENCE` tokens.
 
     Columns: the id, start, length, ids (with `keep_ids`), ids_crc32, doc_tokens, sequence_id and
-    offset. Other columns of `docs` take no part.
+    offset. Other columns of `docs` take no part. Workers remember words of `remembered` bytes for
+    as long as they live, which costs later stages of the same job that memory.
     """
-    tokens = stage(tokenised(docs, tokenizer, id_col, text_col, keep_ids), "tokens")
+    tokens = stage(tokenised(docs, tokenizer, id_col, text_col, keep_ids,
+                              remembered), "tokens")
     n = tokens.agg(F.sum(F.size("crc"))).first()[0] or 0
     groups = max(1, ceil(n / group_pieces))
     pieces = tokens.select(
