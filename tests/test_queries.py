@@ -15,7 +15,7 @@ def test_query_matches_sql(spark, name):
     assert verdict.startswith("ok" if name in oracle_sql() else "no SQL"), verdict
 
 
-@pytest.mark.parametrize("name", STREAMS[:1])
+@pytest.mark.parametrize("name", STREAMS)
 def test_stream_matches_sql(spark, name):
     assert compare(spark, SMALL, name).startswith("ok")
 
