@@ -66,3 +66,12 @@ def test_one_first_player(flat):
     for rows in (E.run_player(events), E.feature_vectors(events), S.snapshots(events),
                  S.fights_with_features(events)):
         assert values(rows, "player_id") == [("first",)]
+
+
+def test_choices_without_an_upgrade_count_nowhere(spark, flat):
+    events = flat({"event_type": C.UPGRADE, "chosen_upgrade_id": None},
+                  {"event_type": C.UPGRADE, "chosen_upgrade_id": "a"},
+                  {"event_type": C.ENCOUNTER, "boss_archetype": "melee"})
+    assert values(E.upgrade_counts(events), "upgrade_counts") == [({"a": 1},)]
+    assert values(E.feature_vectors(events), "upgrade_counts") == [({"a": 1},)]
+    assert values(S.snapshots(events), "upgrade_counts") == [({"a": 1},)]
