@@ -153,7 +153,7 @@ def _meetings(batches: Iterator[pa.RecordBatch]):
 
 def _mined(batches: Iterator[pa.RecordBatch], lists_of, visit) -> Iterator[pa.RecordBatch]:
     """Best rows per list over all meetings of one anchor block that follow one another."""
-    now, state, asked = None, None, None
+    now = state = None
     for key, anchors, candidates in _meetings(batches):
         if key != now:
             if state:

@@ -59,7 +59,8 @@ ENDS = 48
 
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_START, _END = 2, 3
+#: Marks the ends of a word among its letters.
+_START, _END = "\x02", "\x03"
 _KINDS = {"bigram": 11, "trigram": 13, "prefix": 17, "suffix": 19, "word": 23}
 
 
@@ -88,7 +89,7 @@ class Features:
 def features_of(words: list[str]) -> Features:
     """Affixes of one to three letters, n-grams of two and three, and the words themselves."""
     short = [w if len(w) <= 2 * ENDS else w[:ENDS] + w[-ENDS:] for w in words]
-    letters = np.frombuffer("".join([f"\x02{w}\x03" for w in short]).encode("utf-32-le"), "<u4"
+    letters = np.frombuffer("".join([f"{_START}{w}{_END}" for w in short]).encode("utf-32-le"), "<u4"
                             ).astype(np.uint64)
     size = np.array([len(w) + 2 for w in short])
     end = np.cumsum(size)
