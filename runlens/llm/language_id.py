@@ -89,8 +89,8 @@ class Features:
 def features_of(words: list[str]) -> Features:
     """Affixes of one to three letters, n-grams of two and three, and the words themselves."""
     short = [w if len(w) <= 2 * ENDS else w[:ENDS] + w[-ENDS:] for w in words]
-    letters = np.frombuffer("".join([f"{_START}{w}{_END}" for w in short]).encode("utf-32-le"), "<u4"
-                            ).astype(np.uint64)
+    joined = "".join([f"{_START}{w}{_END}" for w in short])
+    letters = np.frombuffer(joined.encode("utf-32-le"), "<u4").astype(np.uint64)
     size = np.array([len(w) + 2 for w in short])
     end = np.cumsum(size)
     start = end - size
