@@ -22,7 +22,7 @@ from runlens.operators import snapshots as S
 from runlens.operators import training as R
 from runlens.operators.runs import ORDER, large_keys, newest, union_all
 from runlens.schemas import AUDIT, ENVELOPE, FLAT_EVENT, NUMERIC_FEATURES
-from runlens.session import scratch_dir, stage
+from runlens.session import scratch_dir, shuffled_into, stage, state_partitions
 from runlens.sinks import cache
 from runlens.sinks import tables as sinks
 from runlens.sinks.topics import to_messages
@@ -757,7 +757,9 @@ class Replayed:
                  slices: int = SLICES) -> None:
         self.slices = slices
         cuts = replay.time_cuts(tables[0], slices)
-        low, self.high = events.agg(F.min("timestamp"), F.max("timestamp")).first()
+        low, self.high, rows = events.agg(
+            F.min("timestamp"), F.max("timestamp"), F.count("*")).first()
+        self.spark, self.partitions = spark, state_partitions(spark, rows)
         self.delay_ms = replay.longest(cuts, low, self.high)
         # Each table comes a slice later than the one before, so the watermark waits for it.
         self.feeds = [replay.Feed(replay.by_slice(table, cuts), _folder(spark, "fed"), lag)
@@ -769,7 +771,11 @@ class Replayed:
 
     def run(self, start: Callable, past: int = 0, **clock) -> None:
         """All slices with a restart in between, until the watermark is `past` the last event."""
-        replay.replay(self.feeds, self.slices, start, restarts=(self.slices // 2,),
+        def started(**trigger):
+            with shuffled_into(self.spark, self.partitions):
+                return start(**trigger)
+
+        replay.replay(self.feeds, self.slices, started, restarts=(self.slices // 2,),
                       closing=lambda fed: fed.put_clock(self.high + past + self.delay_ms, **clock))
 
 
