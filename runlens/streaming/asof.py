@@ -72,7 +72,7 @@ class AsOf(StatefulProcessor):
             if row.event_id is None:
                 continue
             kind, into = (SHOT, shots) if row.kind == _SNAPSHOT else (FIGHT, fights)
-            into.append(tuple(row[name] for name in kind.fieldNames()))
+            into.append(tuple(row[name] for name in kind.names))
         due = {fight[0] for fight in fights}
         if shots:
             self.shots.appendList(shots)
@@ -87,9 +87,9 @@ class AsOf(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         passed = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
-        fights = [tuple(row) for row in self.fights.get()] if self.fights.exists() else []
-        shots = sorted((tuple(row) for row in self.shots.get()),
-                       key=_shot_place) if self.shots.exists() else []
+        # A list that is not there reads as empty: asking first would be one more call each.
+        fights = [tuple(row) for row in self.fights.get()]
+        shots = sorted((tuple(row) for row in self.shots.get()), key=_shot_place)
         ready = sorted((f for f in fights if f[0] <= passed), key=_fight_place)
         at = 0
         for fight in ready:
