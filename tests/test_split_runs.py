@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from runlens.operators import adaptation as A
 from runlens.operators import snapshots as S
+from runlens.operators.runs import large_keys
 from runlens.plans.queries import DAY_MS, STALE_MS, shown
 from runlens.sources.telemetry import gameplay_events
 
@@ -54,3 +55,10 @@ def test_many_large_runs_stay_a_table(skewed, run_limit):
     run_limit(1)
     keys, chunks = S.large_keys(skewed.select("run_id"))
     assert keys.count() == skewed.select("run_id").distinct().count() and chunks > 1
+
+
+def test_a_run_of_a_million_rows_is_split(spark):
+    """One task holds the rows of a run in its windows: half a million at most."""
+    rows = spark.range(1_100_000).selectExpr("if(id < 1000000, 'long', 'short') AS run_id")
+    keys, chunks = large_keys(rows)
+    assert [row.run_id for row in keys.collect()] == ["long"] and chunks >= 4
