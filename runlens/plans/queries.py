@@ -22,7 +22,7 @@ from runlens.operators import snapshots as S
 from runlens.operators import training as R
 from runlens.operators.runs import ORDER, large_keys, newest, union_all
 from runlens.schemas import AUDIT, ENVELOPE, FLAT_EVENT, NUMERIC_FEATURES
-from runlens.session import scratch_dir, shuffled_into, stage, state_partitions
+from runlens.session import scratch_dir, shuffled_into, stage, state_partitions, state_parts
 from runlens.sinks import cache
 from runlens.sinks import tables as sinks
 from runlens.sinks.topics import to_messages
@@ -760,10 +760,11 @@ class Replayed:
         low, self.high, rows = events.agg(
             F.min("timestamp"), F.max("timestamp"), F.count("*")).first()
         self.spark, self.partitions = spark, state_partitions(spark, rows)
+        self.parts = state_parts(spark, rows)
         self.delay_ms = replay.longest(cuts, low, self.high)
         # Each table comes a slice later than the one before, so the watermark waits for it.
-        self.feeds = [replay.Feed(replay.by_slice(table, cuts), _folder(spark, "fed"), lag)
-                      for lag, table in enumerate(tables)]
+        self.feeds = replay.side_by_side([replay.by_slice(table, cuts) for table in tables],
+                                         _folder(spark, "fed"))
 
     @property
     def delay(self) -> str:
@@ -832,7 +833,7 @@ def streamed_fights_with_snapshots(spark, sf_dir):
 
     def start(**trigger):
         return _written(asof.asof_stream(fights.watched(), taken.watched(), replayed.delay,
-                                         idle_ms=None), path, **trigger)
+                                         idle_ms=None, parts=replayed.parts), path, **trigger)
 
     replayed.run(start, past=1)
     found = asof.matched(spark.read.schema(asof.OUTPUT).parquet(f"{path}/out"))
@@ -852,7 +853,7 @@ def _enriched(spark: SparkSession, sf_dir: str, slices: int) -> tuple[str, str]:
     def start(**trigger):
         return start_asof_enrichment(
             fights.watched(), taken.watched(), f"{path}/lake", f"{path}/training", f"{path}/side",
-            f"{path}/checkpoint", replayed.delay, idle_ms=None, **trigger)
+            f"{path}/checkpoint", replayed.delay, idle_ms=None, parts=replayed.parts, **trigger)
 
     replayed.run(start, past=1)
     return f"{path}/training", f"{path}/side"

@@ -24,6 +24,8 @@ from runlens.streaming import asof
 from runlens.streaming import profile as P
 
 _QUERY_ID = "sql.streaming.queryId"
+#: Records of a micro-batch that one task writes.
+RECORDS_PER_TASK = 50_000
 
 
 def batch_name(df: DataFrame, batch_id: int) -> str:
@@ -147,13 +149,15 @@ def start_enrichment(fights: DataFrame, cache: str, lake: str, training: str, ch
 def start_asof_enrichment(fights: DataFrame, snapshots: DataFrame, lake: str, training: str,
                           side: str, checkpoint: str, delay: str = "10 seconds",
                           idle_ms: int | None = C.IDLE_MS, dry_run: bool = False,
-                          **trigger) -> StreamingQuery:
+                          parts: int | None = None, **trigger) -> StreamingQuery:
     """Join the fights with the snapshots of their time; append training rows and lake records.
 
     Nothing is dropped: fights that no snapshot came before are kept under `side/expired`. What was
     loaded, enriched, expired, oversampled and persisted is counted by the writes themselves, with
     no pass of its own, and kept under `side/audit`. All is named by the batch, so a batch that is
-    tried again replaces its own output.
+    tried again replaces its own output. A batch without matches writes no tables, and others write
+    as many files as their rows need rather than one per partition of the state. `parts` is that of
+    `asof.asof_stream`.
     """
 
     def work(found: DataFrame, batch: str) -> None:
@@ -170,19 +174,22 @@ def start_asof_enrichment(fights: DataFrame, snapshots: DataFrame, lake: str, tr
                 F.col("status") == asof.MATCHED).alias("enriched"), F.count_if(
                 F.col("status") == asof.EXPIRED).alias("expired"))
             asof.expired(left).write.mode("overwrite").json(f"{side}/expired/batch={batch}")
-            tables.append_training(R.oversampled_fights(records).observe(
-                appended, F.count("*").alias("oversampled")), training, batch)
-            tables.append_lake(R.split_type(records)[1].observe(
-                stored, F.count("*").alias("persisted")), lake, batch)
-            counts = {**loaded.get, **appended.get, **stored.get}
+            counts = {"oversampled": 0, "persisted": 0, **loaded.get}
+            if counts["enriched"]:
+                records = records.coalesce(-(-counts["enriched"] // RECORDS_PER_TASK))
+                tables.append_training(R.oversampled_fights(records).observe(
+                    appended, F.count("*").alias("oversampled")), training, batch)
+                tables.append_lake(R.split_type(records)[1].observe(
+                    stored, F.count("*").alias("persisted")), lake, batch)
+                counts |= {**appended.get, **stored.get}
             spark.createDataFrame([tuple(counts[name] for name in AUDIT.fieldNames())], AUDIT
                                   ).coalesce(1).write.mode("overwrite").json(
                                       f"{side}/audit/batch={batch}")
         finally:
             found.unpersist()
 
-    return start_batches(asof.asof_stream(fights, snapshots, delay, idle_ms), work, checkpoint,
-                         **trigger)
+    return start_batches(asof.asof_stream(fights, snapshots, delay, idle_ms, parts), work,
+                         checkpoint, **trigger)
 
 
 def audit_counts(spark: SparkSession, side: str) -> DataFrame:
