@@ -12,6 +12,7 @@ rows without an id keep their null id. An empty table gives no pieces.
 
 from __future__ import annotations
 
+import gc
 import re
 import zlib
 from collections.abc import Iterator
@@ -113,14 +114,22 @@ def _words(path: str, remembered: int) -> Words:
 
 
 def tokenised(docs: DataFrame, tokenizer: str, id_col: str, text_col: str,
-              keep_ids: bool, remembered: int = REMEMBERED) -> DataFrame:
+              keep_ids: bool, remembered: int = REMEMBERED, lasting: bool = True) -> DataFrame:
     """Of whole texts, their id, a random number, token count, CRC-32 of each piece, and ids.
 
     Texts are handed back in batches of a few megabytes, whatever came in at once.
     """
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _words(tokenizer, remembered)
+        words = _words(tokenizer, remembered) if lasting else Words(tokenizer, remembered)
+        yield from encoded(batches, words)
+        if not lasting:
+            # The words know each other in a circle, which only a collection frees.
+            del words
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+
+    def encoded(batches: Iterator[pa.RecordBatch], words: Words) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, crcs, ids, held, start = [], [], [], 0, 0
             for at, data in enumerate(batch.column(2), 1):
@@ -184,15 +193,16 @@ def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray,
 
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text",
          keep_ids: bool = True, group_pieces: int = GROUP_PIECES,
-         remembered: int = REMEMBERED) -> DataFrame:
+         remembered: int = REMEMBERED, lasting: bool = True) -> DataFrame:
     """Pieces of all documents with their place in sequences of at most `SEQUENCE` tokens.
 
     Columns: the id, start, length, ids (with `keep_ids`), ids_crc32, doc_tokens, sequence_id and
     offset. Other columns of `docs` take no part. Workers remember words of `remembered` bytes for
-    as long as they live, which costs later stages of the same job that memory.
+    as long as they live, which costs later stages of the same job that memory; those that are not
+    `lasting` forget them, and the tokenizer, with each task.
     """
     tokens = stage(tokenised(docs, tokenizer, id_col, text_col, keep_ids,
-                              remembered), "tokens")
+                              remembered, lasting), "tokens")
     n = tokens.agg(F.sum(F.size("crc"))).first()[0] or 0
     groups = max(1, ceil(n / group_pieces))
     pieces = tokens.select(
