@@ -84,7 +84,11 @@ def newton_sums(rows: DataFrame, scaled: Sequence[str], weights: dict[str, np.nd
 
 def _step(gradient: np.ndarray, gram: np.ndarray) -> np.ndarray:
     """Newton step; directions in which the rows do not differ are left alone."""
-    return np.linalg.lstsq(gram, gradient, rcond=1e-10)[0]
+    # Columns of zeros stay out: the solver would leave rounding in their weights.
+    seen = np.flatnonzero(np.diag(gram))
+    step = np.zeros(len(gradient))
+    step[seen] = np.linalg.lstsq(gram[np.ix_(seen, seen)], gradient[seen], rcond=1e-10)[0]
+    return step
 
 
 def train(training: DataFrame, archetypes: Sequence[str] = C.ARCHETYPES,
