@@ -5,7 +5,8 @@ exchanged, missing or added. A document is known by its id and a digest of its t
 digest, line number), rows without an id last. Lines of fewer than `MIN_WORDS` words always stay; a
 difference of a word is allowed from `NEAR_WORDS` words on.
 
-All variants of a line that lack one word are emitted as hashed keys. Lines that share a variant
+All variants of a line that lack one word are emitted as hashed keys, which are made from running
+sums in time and memory that grow with the line's words, not with their square. Lines that share a variant
 with the same place left out differ in that word at most; a line that equals another's variant
 lacks one word. Of each key only the earliest line is kept, so nothing is paired within a group,
 and a removal counts after the edit distance to that line was verified.
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -85,11 +87,30 @@ def line_keys(text: Column | str, min_words: int, near_words: int) -> Column:
     return F.arrow_udf(keys, _LINES)(utf8(text))
 
 
-def variants(words: list[bytes]) -> list[tuple[int, int]]:
-    """Keys of the line, at place -1, and of it without each word in turn, with the word's place."""
-    shorter = [words[:i] + words[i + 1:] for i in range(len(words))]
-    return [(_signed(xxhash.xxh3_64_intdigest(b" ".join(some))), at)
-            for at, some in enumerate([words, *shorter], -1)]
+def _factors(n: int) -> np.ndarray:
+    """A fixed random odd number for each place in a line."""
+    found = np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    found ^= found >> np.uint64(30)
+    found *= np.uint64(0xBF58476D1CE4E5B9)
+    found ^= found >> np.uint64(27)
+    found *= np.uint64(0x94D049BB133111EB)
+    return (found ^ (found >> np.uint64(31))) | np.uint64(1)
+
+
+def variants(words: list[bytes]) -> np.ndarray:
+    """Keys of the line, and of it without each word in turn.
+
+    A key is the sum of the words' hashes times the factors of their places, modulo 2**64. So the
+    keys of all variants come from two running sums: words ahead of the missing one stay in their
+    places, those behind it move up by one.
+    """
+    n = len(words)
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n)
+    factors = _factors(n)
+    ahead, behind = np.zeros(n + 1, np.uint64), np.zeros(max(n, 1), np.uint64)
+    np.cumsum(hashes * factors, out=ahead[1:])
+    np.cumsum(hashes[1:] * factors[:-1], out=behind[1:])
+    return np.concatenate([ahead[-1:], ahead[:-1] + (behind[-1] - behind)]).view(np.int64)
 
 
 _PLACE_FIELDS = [("doc", pa.int64()), ("key", pa.binary()), ("no", pa.int32())]
@@ -104,17 +125,29 @@ def _table(rows: list[tuple], fields: list) -> pa.RecordBatch:
         schema=pa.schema(fields))
 
 
+def _emitted(batch: pa.RecordBatch, lines: list[int], keys: list[np.ndarray]) -> pa.RecordBatch:
+    """Places of the numbered lines, each beside all of its keys."""
+    sizes = [len(some) for some in keys]
+    places = batch.select(_PLACE).take(pa.array(np.repeat(lines, sizes)))
+    return pa.RecordBatch.from_arrays(
+        [*places.columns, pa.array(np.concatenate(keys)),
+         pa.array(np.concatenate([np.arange(-1, size - 1, dtype=np.int32) for size in sizes]))],
+        schema=pa.schema(_VARIANT_FIELDS))
+
+
 def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Variants of lines."""
+    """Variants of lines: the whole at place -1, others at that of the word they lack."""
     for batch in batches:
-        out = []
-        for row in batch.to_pylist():
-            place = row["doc"], row["key"], row["no"]
-            out += [(*place, *pair) for pair in variants(row["words"].split())]
-            if len(out) > 50_000:
-                yield _table(out, _VARIANT_FIELDS)
-                out = []
-        yield _table(out, _VARIANT_FIELDS)
+        lines, keys, held = [], [], 0
+        for at, words in enumerate(batch.column("words")):
+            lines.append(at)
+            keys.append(variants(words.as_py().split()))
+            held += len(keys[-1])
+            if held > 50_000:
+                yield _emitted(batch, lines, keys)
+                lines, keys, held = [], [], 0
+        if keys:
+            yield _emitted(batch, lines, keys)
 
 
 def within_one_word(a: list[bytes], b: list[bytes]) -> bool:
